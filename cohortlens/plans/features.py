@@ -22,14 +22,18 @@ from .. import schemas as S
 from ..functions.primitives import PRIMITIVES, NUMERIC_ONLY, default_for, primitive
 from ..functions.scaling import age_years
 from ..operators.encode import one_hot
-from ..operators.grouping import (conditional_long, distinct_values, long_to_map, long_to_wide,
-                                  safe_token)
+from ..operators.grouping import (conditional_long, distinct_values, entropy, long_to_map,
+                                  long_to_wide, n_most_common, safe_token)
 from ..operators.joins import assemble, attach_label
 from ..operators.visibility import CUTOFF_COL, attach_cutoff, is_per_person, visible_rows
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
-VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique"}
+VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique", "n_most_common", "entropy"}
+# Primitives over a value distribution: computed from groupBy(person, value)
+# counts, then one more groupBy(person) — not a single aggregate expression.
+TWO_PHASE = {"n_most_common", "entropy"}
+N_MOST_COMMON = 3
 
 
 @dataclass(frozen=True)
@@ -103,8 +107,10 @@ def _child_specs(cfg: ChildConfig, prims: tuple[str, ...], where_value=None) ->
     wc = cfg.where_column if where_value is not None else None
     out = []
     for p in prims:
-        if p not in PRIMITIVES:
+        if p not in PRIMITIVES and p not in TWO_PHASE:
             raise ValueError(f"unknown primitive {p!r}")
+        if p in TWO_PHASE and wc is not None:
+            continue  # distribution primitives are not conditioned per concept
         if p in TABLE_LEVEL:
             out.append(FeatureSpec(feature_name(cfg.table, p, None, wc, where_value), cfg.table, p,
                                    None, wc, where_value))
@@ -235,7 +241,19 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
         rows = visible_rows(rows, spec.time_index, cut, spec.secondary)
         group = [pk] + ([CUTOFF_COL] if per_person else [])
 
-        plain = [d for d in cdefs if d.where_column is None]
+        two = [d for d in cdefs if d.where_column is None and d.primitive in TWO_PHASE]
+        for d in two:
+            if d.primitive == "entropy":
+                part = entropy(rows, group, d.column, out=d.name)
+            else:
+                top = n_most_common(rows, group, d.column, n=N_MOST_COMMON, out="__top")
+                part = top.select(*group, *[F.get(F.col("__top"), i).alias(f"{d.name}__{i}")
+                                            for i in range(N_MOST_COMMON)])
+            if per_person:
+                part = part.drop(CUTOFF_COL)
+            parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
+
+        plain = [d for d in cdefs if d.where_column is None and d.primitive not in TWO_PHASE]
         if plain:
             agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
             if per_person:

@@ -184,3 +184,16 @@ def test_pandas_cross_check(spark):
         for prim in ("mean", "max", "min", "std", "skew", "last"):
             e = None if pd.isna(row[prim]) else float(row[prim])
             assert close(got[pid][f"x__{prim}__v"], e, 1e-7), (pid, prim)
+
+
+def test_distribution_primitives(spark, es_dict):
+    es, _ = es_dict
+    cfg = FeatureConfig("person", (ChildConfig("measurement", ("n_most_common", "entropy"), (),
+                                               ("measurement_concept_id",)),), (), None)
+    got = rows_by_person(feature_matrix(es, cfg, CUTOFF).matrix)
+    # person 1 before the cutoff: concept 100 three times, 200 once
+    assert [got[1][f"measurement__n_most_common__measurement_concept_id__{i}"] for i in range(3)] == [100, 200, None]
+    p = [0.75, 0.25]
+    assert close(got[1]["measurement__entropy__measurement_concept_id"], -sum(x * math.log(x) for x in p))
+    assert got[2]["measurement__entropy__measurement_concept_id"] == 0.0
+    assert got[4]["measurement__entropy__measurement_concept_id"] is None
