@@ -112,16 +112,6 @@ def sum_(ctx):
     return F.sum(_v(ctx))
 
 
-def median(ctx):
-    """Exact median."""
-    return F.median(_v(ctx))
-
-
-def mode(ctx):
-    """Most frequent value; smallest value on ties."""
-    return F.mode(_v(ctx), deterministic=True)
-
-
 def num_unique(ctx):
     return F.count_distinct(_v(ctx))
 
@@ -160,8 +150,6 @@ PRIMITIVES: dict[str, tuple[Callable[[PrimitiveContext], Column], bool, object]]
     "avg_time_between": (avg_time_between, False, None),
     "time_since_first": (time_since_first, False, None),
     "sum": (sum_, True, None),
-    "median": (median, True, None),
-    "mode": (mode, True, None),
     "num_unique": (num_unique, True, 0),
     "first": (first, True, None),
     "trend": (trend, True, None),
@@ -173,7 +161,10 @@ PRIMITIVES: dict[str, tuple[Callable[[PrimitiveContext], Column], bool, object]]
 
 # Primitives that only apply to numeric inputs (``last``/``first``/``mode``
 # also take categorical columns).
-NUMERIC_ONLY = {"mean", "max", "min", "std", "skew", "sum", "median", "trend"}
+NUMERIC_ONLY = {"mean", "max", "min", "std", "skew", "sum", "trend"}
+# ``median`` and ``mode`` are not single aggregates here: Spark's built-in ones
+# keep every distinct value of a group in one buffer.  They are two-phase
+# operators in ``operators.grouping`` (``grouped_median``, ``grouped_mode``).
 BOOLEAN_ONLY = {"any", "all", "num_true", "percent_true"}
 
 

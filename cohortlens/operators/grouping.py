@@ -17,6 +17,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import ensure_checkpoint_dir
+
 # A wide layout beyond this many pivot values is refused: use long or map.
 MAX_WIDE_VALUES = 10_000
 
@@ -108,3 +110,52 @@ def entropy(df: DataFrame, keys: list[str], column: str, out: str = "entropy") -
     agg = counts.groupBy(*keys).agg(F.sum("__n").alias("__N"),
                                     F.sum(F.col("__n") * F.log(F.col("__n"))).alias("__S"))
     return agg.select(*keys, (F.log(F.col("__N")) - F.col("__S") / F.col("__N")).alias(out))
+
+
+def grouped_mode(df: DataFrame, keys: list[str], column: str, out: str = "mode") -> DataFrame:
+    """Per group: the most frequent non-null value, smallest value on ties.
+
+    Two aggregations with partial phases — counts per (group, value), then
+    ``min_by(value, (-count, value))`` — so no group's values are ever held
+    together (Spark's ``mode`` keeps a per-group hash map of all values).
+    """
+    counts = (df.where(F.col(column).isNotNull()).groupBy(*keys, column)
+              .agg(F.count(F.lit(1)).alias("__c")))
+    return counts.groupBy(*keys).agg(
+        F.min_by(F.col(column), F.struct((-F.col("__c")).alias("c"), F.col(column).alias("v"))).alias(out))
+
+
+def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "median",
+                   n_partitions: int | None = None) -> DataFrame:
+    """Per group: exact median of the non-null values (mean of the two middle
+    values for an even count), without collecting any group.
+
+    1. range-partition and sort all (group, value) rows: a hot group spans
+       several partitions;
+    2. number rows inside each partition; checkpoint (both uses below see the
+       same partitions, and a lost executor re-reads instead of re-sorting);
+    3. per (partition, group) segment: first position and row count; a window
+       over each group's segments (at most one per partition) gives running
+       offsets and the group size;
+    4. the segment holding rank (n-1)//2 and n//2 names the two rows to pick;
+       an equi-join on (partition, position) fetches them.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vals = df.where(F.col(column).isNotNull()).select(*keys, column)
+    ordered = vals.repartitionByRange(n, *keys, column).sortWithinPartitions(*keys, column)
+    pid = F.spark_partition_id()
+    pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    rows = ordered.select(*keys, column, pid.alias("__pid"), pos.alias("__pos")).checkpoint(eager=True)
+    seg = rows.groupBy("__pid", *keys).agg(F.min("__pos").alias("__start"),
+                                          F.count(F.lit(1)).alias("__cnt"))
+    by_group = Window.partitionBy(*keys)
+    seg = (seg.withColumn("__off", F.sum("__cnt").over(by_group.orderBy("__pid")) - F.col("__cnt"))
+           .withColumn("__n", F.sum("__cnt").over(by_group)))
+    ranks = F.array_distinct(F.array(F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)))
+    targets = (seg.select("__pid", "__start", "__off", "__cnt", F.explode(ranks).alias("__m"))
+               .where((F.col("__m") >= F.col("__off")) & (F.col("__m") < F.col("__off") + F.col("__cnt")))
+               .select("__pid", (F.col("__start") + F.col("__m") - F.col("__off")).alias("__pos")))
+    picked = rows.join(targets, ["__pid", "__pos"], "inner")
+    return picked.groupBy(*keys).agg(F.avg(F.col(column)).alias(out))

@@ -22,17 +22,19 @@ from .. import schemas as S
 from ..functions.primitives import PRIMITIVES, NUMERIC_ONLY, default_for, primitive
 from ..functions.scaling import age_years
 from ..operators.encode import one_hot
-from ..operators.grouping import (conditional_long, distinct_values, entropy, long_to_map,
-                                  long_to_wide, n_most_common, safe_token)
+from ..operators.grouping import (conditional_long, distinct_values, entropy, grouped_median,
+                                  grouped_mode, long_to_map, long_to_wide, n_most_common,
+                                  safe_token)
 from ..operators.joins import assemble, attach_label
 from ..operators.visibility import CUTOFF_COL, attach_cutoff, is_per_person, visible_rows
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
 VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique", "n_most_common", "entropy"}
+NUMERIC_TWO_PHASE = {"median"}
 # Primitives over a value distribution: computed from groupBy(person, value)
 # counts, then one more groupBy(person) — not a single aggregate expression.
-TWO_PHASE = {"n_most_common", "entropy"}
+TWO_PHASE = {"n_most_common", "entropy", "median", "mode"}
 N_MOST_COMMON = 3
 
 
@@ -245,6 +247,10 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
         for d in two:
             if d.primitive == "entropy":
                 part = entropy(rows, group, d.column, out=d.name)
+            elif d.primitive == "median":
+                part = grouped_median(rows, group, d.column, out=d.name)
+            elif d.primitive == "mode":
+                part = grouped_mode(rows, group, d.column, out=d.name)
             else:
                 top = n_most_common(rows, group, d.column, n=N_MOST_COMMON, out="__top")
                 part = top.select(*group, *[F.get(F.col("__top"), i).alias(f"{d.name}__{i}")

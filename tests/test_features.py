@@ -197,3 +197,22 @@ def test_distribution_primitives(spark, es_dict):
     assert close(got[1]["measurement__entropy__measurement_concept_id"], -sum(x * math.log(x) for x in p))
     assert got[2]["measurement__entropy__measurement_concept_id"] == 0.0
     assert got[4]["measurement__entropy__measurement_concept_id"] is None
+
+
+def test_median_and_mode_two_phase(spark):
+    from cohortlens.operators.grouping import grouped_median, grouped_mode
+    rng = np.random.default_rng(3)
+    n = 3000
+    # one hot group with ~1/3 of the rows spread over many partitions
+    pid = np.where(rng.random(n) < 0.35, 0, rng.integers(1, 40, n))
+    v = rng.integers(0, 30, n).astype(float)
+    pdf = pd.DataFrame({"pid": pid, "v": v})
+    sdf = spark.createDataFrame(pdf).repartition(9)
+    med = {r.pid: r.median for r in grouped_median(sdf, ["pid"], "v", n_partitions=7).collect()}
+    mode = {r.pid: r.mode for r in grouped_mode(sdf, ["pid"], "v").collect()}
+    exp_med = pdf.groupby("pid")["v"].median()
+    exp_mode = pdf.groupby("pid")["v"].agg(lambda s: s.value_counts().sort_index().idxmax())
+    assert set(med) == set(exp_med.index)
+    for p in exp_med.index:
+        assert close(med[p], exp_med[p]), p
+        assert mode[p] == exp_mode[p], p
