@@ -199,6 +199,61 @@ def _long_stat_name(d: FeatureSpec) -> str:
     return feature_name(d.table, d.primitive, d.column)
 
 
+def _as_text(v) -> str:
+    """A code value as Spark renders it when cast to string."""
+    if isinstance(v, bool):
+        return str(v).lower()
+    return str(v)
+
+
+def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[FeatureSpec],
+                 cond: list[FeatureSpec], spec: S.TableSpec, cut, layout: str,
+                 map_col: str) -> DataFrame:
+    """Per-person and per-(person, code) statistics from one scan.
+
+    ``GROUPING SETS ((person), (person, code))`` expands each row twice in
+    memory and aggregates both sets in one partial/final aggregation, so the
+    child table is read and shuffled once.  The per-person row (grouping id
+    1) then rides along as an extra pivot value (wide) or next to the code
+    map (map) in a single ``groupBy(person)`` over the small aggregated rows.
+    """
+    stats: dict[str, FeatureSpec] = {d.name: d for d in plain}
+    cond_stats: list[str] = []
+    for d in cond:
+        n = _long_stat_name(d)
+        if n not in cond_stats:
+            cond_stats.append(n)
+        stats.setdefault(n, replace(d, name=n, where_column=None, where_value=None))
+    values = sorted({d.where_value for d in cond}, key=lambda v: (v is None, v))
+    agg = (rows.groupingSets([group, group + [wc]], *group, wc)
+           .agg(*_agg_columns(list(stats.values()), spec, cut), F.grouping_id().alias("__gid")))
+    is_all = F.col("__gid") == 1
+    if layout == "map":
+        entry = F.struct(F.col(wc).alias("key"),
+                         F.struct(*[F.col(s) for s in cond_stats]).alias("value"))
+        aggs = [F.map_from_entries(F.collect_list(
+            F.when(~is_all & F.col(wc).isin(values), entry))).alias(map_col)]
+        aggs += [F.first(F.when(is_all, F.col(d.name)), ignorenulls=True).alias(d.name) for d in plain]
+        return agg.groupBy(*group).agg(*aggs)
+    texts = [_as_text(v) for v in values]
+    everyone = "__all_rows__"
+    while everyone in texts:
+        everyone += "_"
+    label = F.when(is_all, F.lit(everyone)).otherwise(F.col(wc).cast("string"))
+    keyed = (agg.where(is_all | F.col(wc).isin(values))
+             .select(*group, label.alias("__pv"), *[F.col(s) for s in stats]))
+    names = list(stats)
+    pivoted = (keyed.groupBy(*group).pivot("__pv", [everyone] + texts)
+               .agg(*[F.first(F.col(s)).alias(s) for s in names]))
+
+    def src(v: str, stat: str) -> F.Column:
+        return F.col(f"`{v}_{stat}`" if len(names) > 1 else f"`{v}`")
+
+    cols = [src(everyone, d.name).alias(d.name) for d in plain]
+    cols += [src(_as_text(d.where_value), _long_stat_name(d)).alias(d.name) for d in cond]
+    return pivoted.select(*group, *cols)
+
+
 def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                    defs: list[FeatureSpec] | None = None, layout: str = "wide",
                    encode: bool = False, top_n: int = 10, label: bool = True,
@@ -260,19 +315,29 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
 
         plain = [d for d in cdefs if d.where_column is None and d.primitive not in TWO_PHASE]
+        cond = [d for d in cdefs if d.where_column is not None]
+        wc = child.where_column
+        for d in plain + (cond if layout == "wide" else []):
+            if default_for(d.primitive) is not None:
+                defaults[d.name] = default_for(d.primitive)
+
+        if cond and layout in ("wide", "map"):
+            # one scan of the child for both the per-person and the per-code
+            # statistics (grouping sets), folded per person in one more step
+            part = _single_scan(rows, group, wc, plain, cond, spec, cut, layout,
+                                f"{table}__where_{wc}")
+            if per_person:
+                part = part.drop(CUTOFF_COL)
+            parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
+            continue
+
         if plain:
             agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
             if per_person:
                 agg = agg.drop(CUTOFF_COL)
             parts.append(agg.withColumnRenamed(pk, key) if pk != key else agg)
-            for d in plain:
-                if default_for(d.primitive) is not None:
-                    defaults[d.name] = default_for(d.primitive)
-
-        cond = [d for d in cdefs if d.where_column is not None]
         if cond:
-            wc = child.where_column
-            # one statistic per (primitive, column); concept values become rows
+            # long layout: one statistic per (primitive, column); codes become rows
             stat_defs = {}
             for d in cond:
                 stat_defs.setdefault(_long_stat_name(d), replace(d, name=_long_stat_name(d),
@@ -280,22 +345,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             long = conditional_long(rows, group, wc, _agg_columns(list(stat_defs.values()), spec, cut))
             if per_person:
                 long = long.drop(CUTOFF_COL)
-            if pk != key:
-                long = long.withColumnRenamed(pk, key)
-            values = sorted({d.where_value for d in cond}, key=lambda v: (v is None, v))
-            if layout == "wide":
-                templates = {s: s + "__where_{value}" for s in stat_defs}
-                wide = long_to_wide(long.where(F.col(wc).isin(values)), [key], wc, values, templates)
-                keep = [key] + [d.name for d in cond]
-                parts.append(wide.select(*keep))
-            elif layout == "map":
-                parts.append(long_to_map(long.where(F.col(wc).isin(values)), [key], wc,
-                                         list(stat_defs), map_col=f"{table}__where_{wc}"))
-            else:
-                longs[table] = long
-            for d in cond:
-                if layout == "wide" and default_for(d.primitive) is not None:
-                    defaults[d.name] = default_for(d.primitive)
+            longs[table] = long.withColumnRenamed(pk, key) if pk != key else long
 
     matrix = assemble(base, key, parts, defaults)
     cats = {}
