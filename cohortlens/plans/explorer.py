@@ -88,17 +88,27 @@ def _facet_rows(es: EntitySet, f: Facet, dictionary: DataFrame, person_id, small
         s, e = F.col(f.columns[start_col]), F.col(f.columns[end_col])
         df = df.where((s <= F.lit(hi).cast("timestamp_ntz"))
                       & (F.coalesce(e, s) >= F.lit(lo).cast("timestamp_ntz")))
-    df = lookup_join(df, dictionary, f.concept, small=small)
+    types = {c.name: c.spark_type() for c in spec.columns}
+
+    def col(name: str):
+        # a column dropped at load (all null) reads as a typed null
+        if name in df.columns:
+            return F.col(name)
+        return F.lit(None).cast(types.get(name, "string"))
+
+    df = lookup_join(df, dictionary, f.concept, small=small) if f.concept in df.columns else \
+        df.withColumn("concept_name", F.lit(None).cast("string"))
     cols = [F.col(pk).alias("person_id")]
-    cols += [F.col(src).alias(out) for out, src in f.columns.items()]
+    cols += [col(src).alias(out) for out, src in f.columns.items()]
     if f.y_from_concept_name:
         cols.append(F.col("concept_name").alias("Y"))
     if f.scale == "minmax":
         a = f.scale_args
-        cols.append(minmax_scale(a["value"], a["low"], a["high"]).alias("value_percentile"))
+        cols.append(minmax_scale(col(a["value"]), col(a["low"]), col(a["high"]))
+                    .alias("value_percentile"))
     elif f.scale == "affine":
         a = f.scale_args
-        cols.append(affine_with_overrides(a["value"], a["text"], a.get("center", 90.0),
+        cols.append(affine_with_overrides(col(a["value"]), col(a["text"]), a.get("center", 90.0),
                                           a.get("scale", 10.0),
                                           a.get("overrides", DISPLAY_OVERRIDE)).alias("value_percentile"))
     cols += [F.col("concept_name"), F.lit(f.facet).alias("facet")]

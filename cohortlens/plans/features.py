@@ -138,11 +138,20 @@ def plan_features(es: EntitySet, config: FeatureConfig,
     child table.
     """
     specs: list[FeatureSpec] = []
+    present = {n: set(df.columns) for n, df in es.tables.items()}
+    tcols = present.get(config.target, set())
+    # columns dropped at load (all null) give no features, as in the reference
     for c in config.identity_columns:
-        specs.append(FeatureSpec(c, config.target, "identity", c, categorical=True))
-    if config.age_column:
+        if c in tcols:
+            specs.append(FeatureSpec(c, config.target, "identity", c, categorical=True))
+    if config.age_column and config.age_column in tcols:
         specs.append(FeatureSpec(f"age__{config.age_column}", config.target, "age", config.age_column))
     for child in config.children:
+        if child.table not in present:
+            continue
+        have = present[child.table]
+        child = replace(child, value_columns=tuple(c for c in child.value_columns if c in have),
+                        categorical_columns=tuple(c for c in child.categorical_columns if c in have))
         specs += _child_specs(child, child.primitives)
         if child.where_column and child.where_primitives:
             values = child.where_values

@@ -9,7 +9,8 @@ session can read the folder.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -76,23 +77,25 @@ class EntitySet:
 def _observation_recode(df: DataFrame, wide: bool) -> DataFrame:
     """Yes/No/Never answers as numbers.
 
+    The recoded number always goes to ``value_recoded`` (the feature input).
     Wide: the raw ``value_as_number``/``value_as_string`` stay (the explorer
-    shows them) and the recoded number goes to ``value_recoded``.  Narrow: the
-    number is replaced and the text column dropped.
+    shows them).  Narrow: the number itself is replaced as well and the text
+    column dropped.
     """
     rec = recode_text("value_as_number", "value_as_string")
+    df = df.withColumn(RECODED, rec)
     if wide:
-        return df.withColumn(RECODED, rec)
-    return df.withColumn("value_as_number", rec).drop("value_as_string")
+        return df
+    return df.withColumn("value_as_number", F.col(RECODED)).drop("value_as_string")
 
 
 def _finish(name: str, df: DataFrame, spec: S.TableSpec, wide: bool, drop_empty: bool,
             dense_keys: bool) -> tuple[DataFrame, S.TableSpec]:
     if name == "observation":
         df = _observation_recode(df, wide)
-        if wide:
-            spec = S.TableSpec(spec.name, spec.columns + (S.Col(RECODED, S.NUMERIC),), spec.key,
-                               spec.time_index, spec.secondary, spec.person_key, spec.generated_key)
+        cols = tuple(c for c in spec.columns if wide or c.name != "value_as_string")
+        spec = S.TableSpec(spec.name, cols + (S.Col(RECODED, S.NUMERIC),), spec.key,
+                           spec.time_index, spec.secondary, spec.person_key, spec.generated_key)
     if drop_empty:
         keep = tuple(c for c in (spec.key, spec.person_key, spec.time_index) if c)
         df = drop_all_null_columns(df, keep=keep)
@@ -147,7 +150,8 @@ def save(es: EntitySet, path: str, partition_by: str | None = None,
             w = w.partitionBy(partition_by)
         w.parquet(f"{base}/{name}")
     doc = S.specs_to_json(es.specs)
-    meta = spark.createDataFrame([(es.id, doc)], "id string, specs string")
+    rels = json.dumps([list(astuple(r)) for r in es.relationships])
+    meta = spark.createDataFrame([(es.id, doc, rels)], "id string, specs string, relationships string")
     meta.coalesce(1).write.mode(mode).json(f"{base}/{SPECS_FILE}")
 
 
@@ -160,7 +164,8 @@ def load_parquet(spark: SparkSession, path: str, tables: tuple[str, ...] | None
     names = tables or tuple(specs)
     out = {n: spark.read.parquet(f"{base}/{n}") for n in names}
     specs = {n: specs[n] for n in names}
-    rels = tuple(r for r in S.RELATIONSHIPS if r.child in out and r.parent in out)
+    rels = tuple(S.Relationship(*r) for r in json.loads(meta["relationships"] or "[]"))
+    rels = tuple(r for r in rels if r.child in out and r.parent in out)
     return EntitySet(meta["id"], out, specs, rels)
 
 
