@@ -35,6 +35,9 @@ NUMERIC_TWO_PHASE = {"median"}
 # Primitives over a value distribution: computed from groupBy(person, value)
 # counts, then one more groupBy(person) — not a single aggregate expression.
 TWO_PHASE = {"n_most_common", "entropy", "median", "mode"}
+# Primitives ordered by (time, key): their struct-typed buffers make Spark plan
+# a sort-based aggregate.
+ORDERED = {"last", "first"}
 N_MOST_COMMON = 3
 
 
@@ -330,7 +333,8 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             if default_for(d.primitive) is not None:
                 defaults[d.name] = default_for(d.primitive)
 
-        if cond and layout in ("wide", "map"):
+        ordered = any(d.primitive in ORDERED for d in plain + cond)
+        if cond and layout in ("wide", "map") and not ordered:
             # one scan of the child for both the per-person and the per-code
             # statistics (grouping sets), folded per person in one more step
             part = _single_scan(rows, group, wc, plain, cond, spec, cut, layout,
@@ -340,13 +344,15 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
             continue
 
+        # ordered primitives (last/first) need sort-based aggregation; there
+        # two separate aggregations beat one over grouping-set-expanded rows
         if plain:
             agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
             if per_person:
                 agg = agg.drop(CUTOFF_COL)
             parts.append(agg.withColumnRenamed(pk, key) if pk != key else agg)
         if cond:
-            # long layout: one statistic per (primitive, column); codes become rows
+            # one statistic per (primitive, column); codes become rows
             stat_defs = {}
             for d in cond:
                 stat_defs.setdefault(_long_stat_name(d), replace(d, name=_long_stat_name(d),
@@ -354,7 +360,18 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             long = conditional_long(rows, group, wc, _agg_columns(list(stat_defs.values()), spec, cut))
             if per_person:
                 long = long.drop(CUTOFF_COL)
-            longs[table] = long.withColumnRenamed(pk, key) if pk != key else long
+            if pk != key:
+                long = long.withColumnRenamed(pk, key)
+            values = sorted({d.where_value for d in cond}, key=lambda v: (v is None, v))
+            if layout == "wide":
+                templates = {st: st + "__where_{value}" for st in stat_defs}
+                wide = long_to_wide(long.where(F.col(wc).isin(values)), [key], wc, values, templates)
+                parts.append(wide.select(key, *[d.name for d in cond]))
+            elif layout == "map":
+                parts.append(long_to_map(long.where(F.col(wc).isin(values)), [key], wc,
+                                         list(stat_defs), map_col=f"{table}__where_{wc}"))
+            else:
+                longs[table] = long
 
     matrix = assemble(base, key, parts, defaults)
     cats = {}
