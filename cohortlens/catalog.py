@@ -10,45 +10,32 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import standins as SI
 from .functions.scaling import affine_with_overrides, age_years, minmax_scale, recode_text
 from .operators.clean import drop_all_null_columns
 from .operators.encode import one_hot
 from .operators.grouping import entropy, n_most_common
-from .operators.joins import checked_broadcast, lookup_join
+from .operators.joins import lookup_join
 from .operators.keys import duplicate_keys, generate_key, orphan_links, with_bucket
 from .plans.explorer import patient_info, patient_measurements, patient_timeline
 from .plans.features import ChildConfig, FeatureConfig, feature_matrix, plan_features
 from .session import scratch_path
 from .sources.csv import read_csv_typed
-from .sources.entityset import from_frames, load_parquet, save
+from .sources.entityset import load_parquet, save
 from .sources.featuredefs import load_defs, save_defs, write_matrix
 
 DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (also inside nothing nested) for comparison."""
+    """Round every top-level double column for comparison."""
     return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
 
-def _ts(s: str) -> str:
-    return f"TIMESTAMP '{s}'"
-
-
-def _secs(a: str, b: str) -> str:
-    """SQL: seconds from a to b as double."""
-    return f"((epoch_us({b}) - epoch_us({a})) / 1e6)"
-
-
-def _r(x: str) -> str:
-    return f"round({x}, {DIGITS})"
-
-
 # ---------------------------------------------------------------------------
 # Aggregations over children (A1-A10), one config each
 # ---------------------------------------------------------------------------
@@ -71,6 +58,8 @@ COUNT_GAP = _cfg(ChildConfig("orders", ("count", "avg_time_between")))
 VISIBLE = _cfg(ChildConfig("events", ("count", "mean", "last", "time_since_last"), ("value",)))
 SHIPPED = _cfg(ChildConfig("shipments", ("count", "mean", "max"), ("l_quantity", "l_extendedprice")))
 WHERE = _cfg(ChildConfig("events", (), ("value",), ("event_type",), "event_type", SI.EVENT_PRIMS))
+HASHABLE = ("mean", "max", "min", "std", "skew", "count", "time_since_last")
+SINGLE_SCAN = _cfg(ChildConfig("events", HASHABLE, ("value",), (), "event_type", HASHABLE))
 EXTRA = _cfg(ChildConfig("events", ("sum", "median", "mode", "num_unique", "first"), ("value",),
                          ("event_type",)))
 TREND = _cfg(ChildConfig("events", ("trend",), ("value",)))
@@ -129,6 +118,11 @@ def q_agg_where_wide(spark, sf_dir):
     return _matrix(spark, sf_dir, WHERE, SI.EVENTS_CUTOFF, layout="wide")
 
 
+def q_agg_where_single_scan(spark, sf_dir):
+    """Per-person and per-type features from one grouping-sets scan (no ordered primitive)."""
+    return _matrix(spark, sf_dir, SINGLE_SCAN, SI.EVENTS_CUTOFF, layout="wide")
+
+
 def q_feature_matrix(spark, sf_dir):
     return _matrix(spark, sf_dir, SI.FLAGSHIP_CONFIG, SI.EVENTS_CUTOFF)
 
@@ -362,6 +356,7 @@ QUERIES = {
     "agg_count_gap": q_agg_count_gap,
     "agg_where_long": q_agg_where_long,
     "agg_where_wide": q_agg_where_wide,
+    "agg_where_single_scan": q_agg_where_single_scan,
     "feature_matrix": q_feature_matrix,
     "feature_matrix_labelled": q_feature_matrix_labelled,
     "cutoff_visibility": q_cutoff_visibility,

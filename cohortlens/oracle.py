@@ -185,8 +185,12 @@ def wide_parts(ch: Child, cut: str, prims, value: str, concept: str, types=EVENT
     for t in types:
         for n, p in zip(names, ps):
             nm = f"{n}__where_{t}"
-            outs.append(f"{r(f'{ch.name}_wide.{nm}')} AS {nm}" if (p in DOUBLE_OUT or p in ORDERED)
-                        else f"{ch.name}_wide.{nm} AS {nm}")
+            if p == "count":   # no rows of that code -> 0
+                outs.append(f"coalesce({ch.name}_wide.{nm}, 0) AS {nm}")
+            elif p in DOUBLE_OUT or p in ORDERED:
+                outs.append(f"{r(f'{ch.name}_wide.{nm}')} AS {nm}")
+            else:
+                outs.append(f"{ch.name}_wide.{nm} AS {nm}")
     return ctes, outs, [f"LEFT JOIN {ch.name}_wide ON {ch.name}_wide.k = c.c_custkey"]
 
 
@@ -381,6 +385,10 @@ def build() -> dict[str, str]:
     q["agg_where_long"] = long_query(EVENTS, EVENTS_CUTOFF, EVENT_PRIMS, "value", "event_type")
     q["agg_where_wide"] = customer_query([wide_parts(EVENTS, EVENTS_CUTOFF, EVENT_PRIMS, "value",
                                                      "event_type")])
+    hashable = ("mean", "max", "min", "std", "skew", "count", "time_since_last")
+    q["agg_where_single_scan"] = customer_query([
+        child_sql(EVENTS, EVENTS_CUTOFF, hashable, ("value",)),
+        wide_parts(EVENTS, EVENTS_CUTOFF, hashable, "value", "event_type")])
     q["feature_matrix"] = flagship_sql()
     q["feature_matrix_labelled"] = labelled_sql()
     q["cutoff_visibility"] = customer_query([child_sql(EVENTS, EVENTS_MID_CUTOFF,

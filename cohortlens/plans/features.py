@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, asdict, replace
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
-from ..functions.primitives import PRIMITIVES, NUMERIC_ONLY, default_for, primitive
+from ..functions.primitives import PRIMITIVES, default_for, primitive
 from ..functions.scaling import age_years
 from ..operators.encode import one_hot
 from ..operators.grouping import (conditional_long, distinct_values, entropy, grouped_median,
@@ -31,7 +31,6 @@ from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
 VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique", "n_most_common", "entropy"}
-NUMERIC_TWO_PHASE = {"median"}
 # Primitives over a value distribution: computed from groupBy(person, value)
 # counts, then one more groupBy(person) — not a single aggregate expression.
 TWO_PHASE = {"n_most_common", "entropy", "median", "mode"}
@@ -243,8 +242,9 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
     if layout == "map":
         entry = F.struct(F.col(wc).alias("key"),
                          F.struct(*[F.col(s) for s in cond_stats]).alias("value"))
-        aggs = [F.map_from_entries(F.collect_list(
-            F.when(~is_all & F.col(wc).isin(values), entry))).alias(map_col)]
+        entries = F.collect_list(F.when(~is_all & F.col(wc).isin(values), entry))
+        # no coded rows -> null (as for persons the long form has no row for)
+        aggs = [F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias(map_col)]
         aggs += [F.first(F.when(is_all, F.col(d.name)), ignorenulls=True).alias(d.name) for d in plain]
         return agg.groupBy(*group).agg(*aggs)
     texts = [_as_text(v) for v in values]

@@ -216,3 +216,27 @@ def test_median_and_mode_two_phase(spark):
     for p in exp_med.index:
         assert close(med[p], exp_med[p]), p
         assert mode[p] == exp_mode[p], p
+
+
+def test_single_scan_matches_two_aggregations(spark, es_dict):
+    """Hash-only primitives take the grouping-sets path; compare with the long form."""
+    es, _ = es_dict
+    prims = ("mean", "max", "count", "time_since_last")
+    cfg = FeatureConfig("person", (ChildConfig("measurement", prims, ("value_as_number",), (),
+                                               "measurement_concept_id", prims),), (), None)
+    defs = plan_features(es, cfg)
+    wide = rows_by_person(feature_matrix(es, cfg, CUTOFF, defs=defs, layout="wide").matrix)
+    mp = rows_by_person(feature_matrix(es, cfg, CUTOFF, defs=defs, layout="map").matrix)
+    res = feature_matrix(es, cfg, CUTOFF, defs=defs, layout="long")
+    plain = rows_by_person(res.matrix)
+    for r in res.long["measurement"].collect():
+        p, c = r["person_id"], r["measurement_concept_id"]
+        assert wide[p][f"measurement__count__where_{c}"] == r["measurement__count"]
+        assert close(mp[p]["measurement__where_measurement_concept_id"][c]["measurement__mean__value_as_number"],
+                     r["measurement__mean__value_as_number"])
+    for p, row in plain.items():
+        assert wide[p]["measurement__count"] == row["measurement__count"]
+        assert close(wide[p]["measurement__mean__value_as_number"], row["measurement__mean__value_as_number"])
+        assert mp[p]["measurement__count"] == row["measurement__count"]
+    assert wide[4]["measurement__count__where_100"] == 0          # no rows -> count 0
+    assert mp[4]["measurement__where_measurement_concept_id"] is None
