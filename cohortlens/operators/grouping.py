@@ -6,9 +6,10 @@ Shapes, from cheapest to most expensive at wide concept sets:
   aggregation keeps a hot person down to one buffer per task and concept.
 * map   — long, then one ``map<concept, struct<stats>>`` per person; the map
   is bounded by the concept vocabulary, never by the person's row count.
-* wide  — long, then ``pivot`` on an explicit, sorted value list.  Never one
-  conditional aggregate per concept on the raw rows (5x slower at 1,000
-  columns and a plan that grows with the vocabulary).
+* wide  — long, then a pivot on an explicit, sorted value list (conditional
+  aggregates over the grouped rows for small cell counts, Spark's ``pivot``
+  beyond).  Never one conditional aggregate per concept on the raw rows (5x
+  slower at 1,000 columns and a plan that grows with the vocabulary).
 """
 
 from __future__ import annotations
@@ -62,6 +63,33 @@ def safe_token(value) -> str:
     return s if s else "blank"
 
 
+# Up to this many output cells per person a pivot is written as conditional
+# aggregates in one groupBy (one shuffle of the grouped rows).  Beyond it
+# Spark's pivot is used: constant work per row (PivotFirst), but one more
+# shuffle, because its first phase regroups by (person, value).
+MANUAL_PIVOT_CELLS = 256
+
+
+def pivot_rows(df: DataFrame, keys: list[str], pivot_col: str,
+               cells: list[tuple[object, str, str]]) -> DataFrame:
+    """Spread rows with one row per (keys, pivot value) into columns.
+
+    ``cells`` lists ``(pivot value, source column, output name)``.
+    """
+    if not cells:
+        return df.select(*keys).distinct()
+    if len(cells) <= MANUAL_PIVOT_CELLS:
+        return df.groupBy(*keys).agg(*[
+            F.max(F.when(F.col(pivot_col) == F.lit(v), F.col(src))).alias(out)
+            for v, src, out in cells])
+    values = list(dict.fromkeys(v for v, _, _ in cells))
+    stats = list(dict.fromkeys(src for _, src, _ in cells))
+    pivoted = (df.groupBy(*keys).pivot(pivot_col, values)
+               .agg(*[F.first(F.col(st)).alias(st) for st in stats]))
+    return pivoted.select(*keys, *[
+        F.col(f"`{v}_{src}`" if len(stats) > 1 else f"`{v}`").alias(out) for v, src, out in cells])
+
+
 def long_to_wide(long: DataFrame, keys: list[str], concept: str, values: list,
                  stats: dict[str, str]) -> DataFrame:
     """Pivot the long form on an explicit value list.
@@ -71,17 +99,8 @@ def long_to_wide(long: DataFrame, keys: list[str], concept: str, values: list,
     """
     if len(values) > MAX_WIDE_VALUES:
         raise ValueError("too many pivot values; use the long or map layout")
-    if not values:
-        return long.select(*keys).distinct()
-    aliases = list(stats)
-    pivoted = (long.groupBy(*keys).pivot(concept, values)
-               .agg(*[F.first(F.col(s)).alias(s) for s in aliases]))
-    renames = {}
-    for v in values:
-        for s in aliases:
-            src = f"{v}_{s}" if len(aliases) > 1 else str(v)
-            renames[src] = stats[s].format(value=safe_token(v))
-    return pivoted.select(*keys, *[F.col(f"`{src}`").alias(dst) for src, dst in renames.items()])
+    cells = [(v, st, tpl.format(value=safe_token(v))) for v in values for st, tpl in stats.items()]
+    return pivot_rows(long, keys, concept, cells)
 
 
 def n_most_common(df: DataFrame, keys: list[str], column: str, n: int = 3,

@@ -24,7 +24,7 @@ from ..functions.scaling import age_years
 from ..operators.encode import one_hot
 from ..operators.grouping import (conditional_long, distinct_values, entropy, grouped_median,
                                   grouped_mode, long_to_map, long_to_wide, n_most_common,
-                                  safe_token)
+                                  pivot_rows, safe_token)
 from ..operators.joins import assemble, attach_label
 from ..operators.visibility import CUTOFF_COL, attach_cutoff, is_per_person, visible_rows
 from ..sources.entityset import EntitySet, RECODED
@@ -254,16 +254,9 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
     label = F.when(is_all, F.lit(everyone)).otherwise(F.col(wc).cast("string"))
     keyed = (agg.where(is_all | F.col(wc).isin(values))
              .select(*group, label.alias("__pv"), *[F.col(s) for s in stats]))
-    names = list(stats)
-    pivoted = (keyed.groupBy(*group).pivot("__pv", [everyone] + texts)
-               .agg(*[F.first(F.col(s)).alias(s) for s in names]))
-
-    def src(v: str, stat: str) -> F.Column:
-        return F.col(f"`{v}_{stat}`" if len(names) > 1 else f"`{v}`")
-
-    cols = [src(everyone, d.name).alias(d.name) for d in plain]
-    cols += [src(_as_text(d.where_value), _long_stat_name(d)).alias(d.name) for d in cond]
-    return pivoted.select(*group, *cols)
+    cells = [(everyone, d.name, d.name) for d in plain]
+    cells += [(_as_text(d.where_value), _long_stat_name(d), d.name) for d in cond]
+    return pivot_rows(keyed, group, "__pv", cells)
 
 
 def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,

@@ -240,3 +240,15 @@ def test_single_scan_matches_two_aggregations(spark, es_dict):
         assert mp[p]["measurement__count"] == row["measurement__count"]
     assert wide[4]["measurement__count__where_100"] == 0          # no rows -> count 0
     assert mp[4]["measurement__where_measurement_concept_id"] is None
+
+
+def test_pivot_paths_agree(spark, monkeypatch):
+    from cohortlens.operators import grouping
+    df = spark.createDataFrame([(1, "a", 1.0, 5), (1, "b", 2.0, None), (2, "a", 3.0, 7)],
+                               "p long, c string, x double, y long")
+    cells = [(v, s, f"{s}_{v}") for v in ("a", "b", "z") for s in ("x", "y")]
+    small = sorted(grouping.pivot_rows(df, ["p"], "c", cells).collect())
+    monkeypatch.setattr(grouping, "MANUAL_PIVOT_CELLS", 2)
+    big = grouping.pivot_rows(df, ["p"], "c", cells)
+    assert sorted(big.select(*small[0].__fields__).collect()) == small
+    assert small[0].asDict() == {"p": 1, "x_a": 1.0, "y_a": 5, "x_b": 2.0, "y_b": None, "x_z": None, "y_z": None}
