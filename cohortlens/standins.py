@@ -23,7 +23,7 @@ with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import schemas as S
 from .operators.joins import checked_broadcast
@@ -41,8 +41,19 @@ ORDERS_CUTOFF = "2002-01-01 00:00:00"
 SHIPPED_CUTOFF = "1998-01-01 00:00:00"
 
 
+# File schemas seen in this process: a Parquet read without a schema runs a
+# footer-reading Spark job; the stand-in tables are read many times.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def _spec(name, cols, key=None, time=None, person=None, secondary=None):
