@@ -374,3 +374,28 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     if label and config.label_table and config.label_table in es:
         matrix = attach_label(matrix, es[config.label_table], key)
     return FeatureResult(matrix, defs, longs, cats)
+
+
+def gen_feature_matrix(es: EntitySet, cutoff, features_only: bool = False,
+                       feature_matrix_encode: bool = False, saved_features: str | None = None,
+                       config: FeatureConfig = REFERENCE_CONFIG, layout: str = "wide",
+                       top_n: int = 10):
+    """The reference's entry point on Spark: ``(matrix, defs)``, or only ``defs``.
+
+    ``saved_features`` is a definitions folder written by ``save_defs``; its
+    stored configuration replaces ``config``.  The label is attached (right
+    join) when the set holds the config's label table.  ``cutoff`` is
+    required: the run's clock is never used implicitly.
+    """
+    if saved_features is not None:
+        from ..sources.featuredefs import load_defs
+        spark = next(iter(es.tables.values())).sparkSession
+        defs, saved_config = load_defs(spark, saved_features)
+        config = saved_config or config
+    else:
+        defs = plan_features(es, config)
+        if features_only:
+            return defs
+    res = feature_matrix(es, config, cutoff, defs=defs, layout=layout,
+                         encode=feature_matrix_encode, top_n=top_n)
+    return res.matrix, defs

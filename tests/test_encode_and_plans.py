@@ -69,3 +69,31 @@ def test_scan_pruning_on_test_tables(spark):
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", text)
     events = [s for s in schemas if "user_id" in s]
     assert events and all("props" not in s and "event_type" not in s for s in events)  # pruned
+
+
+def test_n_most_common_ranks_before_the_shuffle(spark):
+    """A hot person's (person, value) counts are cut to n per map task
+    (partial WindowGroupLimit) before they are shuffled by person."""
+    from cohortlens.operators.grouping import n_most_common
+    rows = [(0, f"v{i % 40}") for i in range(400)] + [(1, "a"), (1, "b"), (1, "b")]
+    df = spark.createDataFrame(rows, "p long, c string").repartition(4)
+    out = n_most_common(df, ["p"], "c", n=3)
+    got = {r.p: r.n_most_common for r in out.collect()}
+    assert got[1] == ["b", "a"]
+    assert got[0] == ["v0", "v1", "v10"]            # all tied at 10: smallest values
+    text = plan_text(out)
+    assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_lookup_join_paths_agree(spark):
+    """Above the broadcast bound the dictionary join is left to the planner;
+    both paths give the same rows (duplicate codes multiply, unknown -> null)."""
+    from cohortlens.operators.joins import lookup_join
+    facts = spark.createDataFrame([(1, 10), (2, 20), (3, None), (4, 30)], "id long, code long")
+    dic = spark.createDataFrame([(10, "a"), (20, "b"), (20, "b2")],
+                                "concept_id long, concept_name string")
+    small = sorted(map(tuple, lookup_join(facts, dic, "code", small=True).collect()), key=str)
+    big = lookup_join(facts, dic, "code", small=False)
+    assert sorted(map(tuple, big.collect()), key=str) == small
+    assert len(small) == 5
+    assert "BroadcastExchange" in plan_text(lookup_join(facts, dic, "code", small=True))

@@ -76,3 +76,30 @@ def test_reference_flow(spark, tmp_path):
     assert len(tl) == 6
     ms = patient_measurements(back, d, 1).collect()
     assert {r.facet for r in ms} == {"measurement", "observation"}
+
+
+def test_gen_feature_matrix_entry_point(spark, tmp_path):
+    """The reference's entry-point shape: definitions only, computed, and from a
+    saved definitions file (with encoding, which the reference breaks on)."""
+    from cohortlens import gen_feature_matrix
+    from cohortlens.sources import save_defs
+
+    src = tmp_path / "csv"
+    src.mkdir()
+    build_csv(src)
+    es = load_csv(spark, str(src))
+    defs = gen_feature_matrix(es, FX.CUTOFF, features_only=True)
+    assert any(d.where_value is not None for d in defs)
+    matrix, defs2 = gen_feature_matrix(es, FX.CUTOFF)
+    assert [d.name for d in defs2] == [d.name for d in defs]
+    rows = {r.person_id: r.asDict() for r in matrix.collect()}
+    assert sorted(rows) == [1, 2, 9]                       # labelled persons (right join)
+    assert rows[1]["device_exposure__count"] == 3
+    path = str(tmp_path / "defs")
+    save_defs(spark, defs, path, REFERENCE_CONFIG)
+    enc, loaded = gen_feature_matrix(es, FX.CUTOFF, feature_matrix_encode=True, saved_features=path)
+    assert [d.name for d in loaded] == [d.name for d in defs]
+    enc_rows = {r.person_id: r.asDict() for r in enc.collect()}
+    assert enc_rows[1]["gender_concept_id__is_8507"] is True
+    assert math.isclose(enc_rows[1]["measurement__mean__value_as_number"],
+                        rows[1]["measurement__mean__value_as_number"])
