@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import astuple, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas as S
 from ..functions.scaling import recode_text
@@ -21,6 +21,7 @@ from ..operators.keys import duplicate_keys, generate_key, orphan_links, with_bu
 from .csv import read_csv_typed
 
 SPECS_FILE = "_specs"
+META_SCHEMA = "id string, specs string, relationships string, schemas string"
 RECODED = "value_recoded"
 
 
@@ -151,7 +152,12 @@ def save(es: EntitySet, path: str, partition_by: str | None = None,
         w.parquet(f"{base}/{name}")
     doc = S.specs_to_json(es.specs)
     rels = json.dumps([list(astuple(r)) for r in es.relationships])
-    meta = spark.createDataFrame([(es.id, doc, rels)], "id string, specs string, relationships string")
+    # the written schemas too: loading then needs no footer-reading job per table
+    schemas = json.dumps({name: T.StructType([T.StructField(f.name, f.dataType, True, f.metadata)
+                                              for f in df.schema.fields]).jsonValue()
+                          for name, df in es.tables.items()})
+    meta = spark.createDataFrame([(es.id, doc, rels, schemas)],
+                                 "id string, specs string, relationships string, schemas string")
     meta.coalesce(1).write.mode(mode).json(f"{base}/{SPECS_FILE}")
 
 
@@ -159,10 +165,17 @@ def load_parquet(spark: SparkSession, path: str, tables: tuple[str, ...] | None
                  ) -> EntitySet:
     """Load a set written by ``save`` (specs and relationships included)."""
     base = path.rstrip("/")
-    meta = spark.read.json(f"{base}/{SPECS_FILE}").first()
+    meta = spark.read.schema(META_SCHEMA).json(f"{base}/{SPECS_FILE}").first()
     specs = S.specs_from_json(meta["specs"])
     names = tables or tuple(specs)
-    out = {n: spark.read.parquet(f"{base}/{n}") for n in names}
+    written = json.loads(meta["schemas"]) if meta["schemas"] else {}
+
+    def read(n: str) -> DataFrame:
+        if n in written:
+            return spark.read.schema(T.StructType.fromJson(written[n])).parquet(f"{base}/{n}")
+        return spark.read.parquet(f"{base}/{n}")  # sets saved before schemas were stored
+
+    out = {n: read(n) for n in names}
     specs = {n: specs[n] for n in names}
     rels = tuple(S.Relationship(*r) for r in json.loads(meta["relationships"] or "[]"))
     rels = tuple(r for r in rels if r.child in out and r.parent in out)

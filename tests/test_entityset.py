@@ -89,8 +89,13 @@ def test_save_load_round_trip_partitioned(spark, tmp_path):
     es, _ = health_set(spark)
     es = es.with_table("measurement", es["measurement"].withColumn("partition", bucket_of("person_id", 4)))
     save(es, str(tmp_path / "set"), partition_by="partition")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = len(tracker.getJobIdsForGroup(None))
     back = load_parquet(spark, str(tmp_path / "set"))
+    # one job reads the specs row; the stored schemas spare a job per table
+    assert len(tracker.getJobIdsForGroup(None)) - jobs == 1
     assert set(back.tables) == set(es.tables)
+    assert back["measurement"].columns == spark.read.parquet(str(tmp_path / "set" / "measurement")).columns
     assert back.spec("observation").columns[-1].name == RECODED
     a = es["measurement"].select(*sorted(es["measurement"].columns)).collect()
     b = back["measurement"].select(*sorted(es["measurement"].columns)).collect()
