@@ -26,7 +26,8 @@ from ..operators.grouping import (conditional_long, distinct_values, entropy, gr
                                   grouped_mode, long_to_map, long_to_wide, n_most_common,
                                   pivot_rows, safe_token)
 from ..operators.joins import assemble, attach_label
-from ..operators.visibility import CUTOFF_COL, attach_cutoff, is_per_person, visible_rows
+from ..operators.visibility import (CUTOFF_COL, attach_cutoff, cutoff_is_small, is_per_person,
+                                   visible_rows)
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
@@ -278,9 +279,13 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     tspec = es.spec(config.target)
     key = tspec.key
     per_person = is_per_person(cutoff)
+    small = None
+    if per_person:
+        # one bounded count decides broadcast vs. salted join for every table
+        small = cutoff_is_small(cutoff.select("person_id"))
 
     # target rows, identity features and age
-    target, tcut = attach_cutoff(es[config.target], cutoff, key)
+    target, tcut = attach_cutoff(es[config.target], cutoff, key, small=small, row_key=key)
     tcols = [F.col(key)]
     for d in defs:
         if d.table != config.target:
@@ -299,7 +304,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             continue
         spec = es.spec(table)
         pk = spec.person_key
-        rows, cut = attach_cutoff(es[table], cutoff, pk)
+        rows, cut = attach_cutoff(es[table], cutoff, pk, small=small, row_key=spec.key)
         rows = visible_rows(rows, spec.time_index, cut, spec.secondary)
         group = [pk] + ([CUTOFF_COL] if per_person else [])
 

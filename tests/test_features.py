@@ -132,6 +132,47 @@ def test_per_person_cutoff(spark, es_dict):
     assert got[2]["measurement__count"] == 3
 
 
+def test_per_person_cutoff_salted_join_agrees(spark, monkeypatch):
+    """Above the broadcast bound the cutoff join is salted; the features are
+    the same as with the broadcast join, for a hot person too."""
+    from cohortlens.plans import features as FM
+    from cohortlens.sources.entityset import from_frames
+    from cohortlens import schemas as S
+    rng = np.random.default_rng(11)
+    n = 2000
+    pid = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 30, n))
+    base = pd.Timestamp("2024-01-01")
+    ev = pd.DataFrame({"event_id": np.arange(n), "user_id": pid,
+                       "ts": [base + pd.Timedelta(minutes=int(m)) for m in rng.integers(0, 50000, n)],
+                       "value": rng.normal(50, 10, n).round(2)})
+    events = spark.createDataFrame(ev).withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(5)
+    people = spark.createDataFrame(pd.DataFrame({"pid": np.arange(30)}))
+    spec = S.TableSpec("events", (S.Col("event_id", S.INDEX), S.Col("user_id", S.ID),
+                                  S.Col("ts", S.TIME_INDEX), S.Col("value", S.NUMERIC)),
+                       key="event_id", time_index="ts", person_key="user_id")
+    pspec = S.TableSpec("people", (S.Col("pid", S.INDEX),), key="pid", person_key="pid")
+    es = from_frames("t", {"people": people, "events": events}, {"people": pspec, "events": spec},
+                     "people", "pid")
+    cfg = FeatureConfig("people", (ChildConfig("events", ("count", "mean", "last", "time_since_last"),
+                                               ("value",)),), (), None)
+    cuts = spark.createDataFrame(pd.DataFrame({"person_id": np.arange(0, 30, 2),
+                                               "cutoff_time": [base + pd.Timedelta(days=int(d))
+                                                               for d in rng.integers(5, 30, 15)]})) \
+        .withColumn("cutoff_time", F.col("cutoff_time").cast("timestamp_ntz"))
+    small = sorted(map(tuple, feature_matrix(es, cfg, cuts).matrix.collect()))
+    monkeypatch.setattr(FM, "cutoff_is_small", lambda df: False)
+    salted_df = feature_matrix(es, cfg, cuts).matrix
+    salted = sorted(map(tuple, salted_df.collect()))
+    assert len(small) == 15 and len(salted) == 15
+    for a, b in zip(small, salted):
+        assert a[0] == b[0] and a[1] == b[1] and a[3] == b[3]
+        assert close(a[2], b[2]) and close(a[4], b[4])
+    hot = [r for r in small if r[0] == 0][0]
+    assert hot[1] > 100                                   # the hot person is counted whole
+    plan = salted_df._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in plan.lower()
+
+
 def test_defs_json_round_trip(es_dict):
     es, _ = es_dict
     defs = plan_features(es, REFERENCE_CONFIG)
