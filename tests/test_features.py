@@ -227,6 +227,65 @@ def test_pandas_cross_check(spark):
             assert close(got[pid][f"x__{prim}__v"], e, 1e-7), (pid, prim)
 
 
+def test_pandas_cross_check_time_and_extra(spark):
+    """A7-A10 and X1-X4, X6, X8-X10 against pandas on a random frame with ties
+    in time and persons without rows."""
+    from cohortlens import schemas as S
+    from cohortlens.sources.entityset import EntitySet
+    rng = np.random.default_rng(9)
+    n = 500
+    pdf = pd.DataFrame({
+        "row_id": np.arange(n), "pid": rng.integers(0, 30, n),
+        "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 2000, n), unit="h"),
+        "v": np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 15, n).astype(float))})
+    sdf = spark.createDataFrame(
+        [(int(a), int(b), c.to_pydatetime(), None if np.isnan(d) else float(d)) for a, b, c, d in
+         pdf.itertuples(index=False)], "row_id long, pid long, ts timestamp_ntz, v double") \
+        .withColumn("hi", F.col("v") > F.lit(7.0)).repartition(3)
+    spec = S.TableSpec("x", (S.Col("row_id", S.INDEX), S.Col("pid", S.ID), S.Col("ts", S.TIME_INDEX),
+                             S.Col("v", S.NUMERIC)), key="row_id", time_index="ts", person_key="pid")
+    people = spark.createDataFrame([(i,) for i in range(35)], "pid long")   # 30-34: no rows
+    pspec = S.TableSpec("p", (S.Col("pid", S.INDEX),), key="pid", person_key="pid")
+    es = EntitySet("x", {"p": people, "x": sdf, "b": sdf}, {"p": pspec, "x": spec, "b": spec})
+    cut = "2021-01-01 00:00:00"
+    cfg = FeatureConfig("p", (
+        ChildConfig("x", ("time_since_last", "time_since_first", "count", "avg_time_between", "sum",
+                          "median", "mode", "num_unique", "first", "trend"), ("v",)),
+        ChildConfig("b", ("any", "all", "num_true", "percent_true"), ("hi",))), (), None)
+    got = rows_by_person(feature_matrix(es, cfg, cut).matrix, "pid")
+    c = pd.Timestamp(cut)
+    ordered = pdf.sort_values(["ts", "row_id"])
+    for pid in range(35):
+        rows = ordered[ordered.pid == pid]
+        g = got[pid]
+        if rows.empty:
+            assert g["x__count"] == 0 and g["b__num_true__hi"] == 0
+            assert g["x__time_since_last"] is None and g["x__median__v"] is None
+            continue
+        v = rows["v"].dropna()
+        assert g["x__count"] == len(rows)
+        assert close(g["x__time_since_last"], (c - rows.ts.max()).total_seconds())
+        assert close(g["x__time_since_first"], (c - rows.ts.min()).total_seconds())
+        gaps = rows.ts.diff().dt.total_seconds().dropna()
+        assert close(g["x__avg_time_between"], float(gaps.mean()) if len(gaps) else None)
+        assert close(g["x__sum__v"], float(v.sum()) if len(v) else None)
+        assert close(g["x__median__v"], float(v.median()) if len(v) else None)
+        mode = v.value_counts().sort_index().idxmax() if len(v) else None
+        assert g["x__mode__v"] == mode
+        assert g["x__num_unique__v"] == v.nunique()
+        first = rows["v"].iloc[0]
+        assert close(g["x__first__v"], None if np.isnan(first) else float(first))
+        pairs = rows.dropna(subset=["v"])
+        days = (pairs.ts - pd.Timestamp("1970-01-01")).dt.total_seconds() / 86400.0
+        slope = np.polyfit(days, pairs.v, 1)[0] if len(pairs) >= 2 and days.nunique() > 1 else None
+        assert close(g["x__trend__v"], None if slope is None else float(slope), 1e-6), pid
+        hi = (v > 7.0)
+        assert g["b__any__hi"] == (bool(hi.any()) if len(v) else None)
+        assert g["b__all__hi"] == (bool(hi.all()) if len(v) else None)
+        assert g["b__num_true__hi"] == int(hi.sum())
+        assert close(g["b__percent_true__hi"], float(hi.mean()) if len(v) else None)
+
+
 def test_distribution_primitives(spark, es_dict):
     es, _ = es_dict
     cfg = FeatureConfig("person", (ChildConfig("measurement", ("n_most_common", "entropy"), (),
