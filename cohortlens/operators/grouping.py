@@ -19,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import fits_broadcast
 
 # A wide layout beyond this many pivot values is refused: use long or map.
 MAX_WIDE_VALUES = 10_000
@@ -157,7 +158,8 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
        over each group's segments (at most one per partition) gives running
        offsets and the group size;
     4. the segment holding rank (n-1)//2 and n//2 names the two rows to pick;
-       an equi-join on (partition, position) fetches them.
+       an equi-join on (partition, position) fetches them (the picks are
+       broadcast when a bounded count allows, else both sides are shuffled).
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -176,5 +178,10 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
     targets = (seg.select("__pid", "__start", "__off", "__cnt", F.explode(ranks).alias("__m"))
                .where((F.col("__m") >= F.col("__off")) & (F.col("__m") < F.col("__off") + F.col("__cnt")))
                .select("__pid", (F.col("__start") + F.col("__m") - F.col("__off")).alias("__pos")))
+    # at most two picks per group: written once, counted with a bound, and
+    # broadcast when small, so the positioned rows are scanned, not shuffled
+    targets = targets.checkpoint(eager=True)
+    if fits_broadcast(targets):
+        targets = F.broadcast(targets)
     picked = rows.join(targets, ["__pid", "__pos"], "inner")
     return picked.groupBy(*keys).agg(F.avg(F.col(column)).alias(out))
