@@ -163,9 +163,10 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = df.where(F.col(column).isNotNull()).select(*keys, column)
-    ordered = vals.repartitionByRange(n, *keys, column).sortWithinPartitions(*keys, column)
+    by_range = (vals.repartitionByRange(n_partitions, *keys, column) if n_partitions
+                else vals.repartitionByRange(*keys, column))   # AQE sizes it
+    ordered = by_range.sortWithinPartitions(*keys, column)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
     rows = ordered.select(*keys, column, pid.alias("__pid"), pos.alias("__pos")).checkpoint(eager=True)

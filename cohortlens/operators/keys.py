@@ -66,8 +66,11 @@ def generate_key(df: DataFrame, key: str, order_cols: list[str] | None = None,
     order_cols = order_cols or list(df.columns)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # no explicit count by default: AQE sizes the range exchange (initial
+    # partition number, then coalescing of adjacent ranges — order is kept)
+    by_range = (df.repartitionByRange(n_partitions, *order_cols) if n_partitions
+                else df.repartitionByRange(*order_cols))
+    ordered = by_range.sortWithinPartitions(*order_cols)
     pid = F.spark_partition_id()
     positioned = ordered.select(
         "*", pid.alias("__pid"),

@@ -115,3 +115,13 @@ def test_generate_key_matches_row_number(spark):
     expected = sorted((r.a, r.b) for r in df.collect())
     assert [(r.a, r.b) for r in got] == expected
     assert [r.k for r in got] == list(range(500))
+
+
+def test_generate_key_default_partitioning_is_aqe_sized(spark):
+    """Without an explicit count the range exchange is sized (and coalesced)
+    by AQE; keys stay dense and in the total order."""
+    df = spark.range(0, 3000, numPartitions=9).select(
+        (F.col("id") % 7).alias("a"), (F.col("id") * 7919 % 3001).alias("b"))
+    got = generate_key(df, "k", ["a", "b"]).orderBy("k").collect()
+    assert [(r.a, r.b) for r in got] == sorted((r.a, r.b) for r in df.collect())
+    assert [r.k for r in got] == list(range(3000))
