@@ -87,8 +87,12 @@ def pivot_rows(df: DataFrame, keys: list[str], pivot_col: str,
     stats = list(dict.fromkeys(src for _, src, _ in cells))
     pivoted = (df.groupBy(*keys).pivot(pivot_col, values)
                .agg(*[F.first(F.col(st)).alias(st) for st in stats]))
-    return pivoted.select(*keys, *[
-        F.col(f"`{v}_{src}`" if len(stats) > 1 else f"`{v}`").alias(out) for v, src, out in cells])
+    names = [f"{v}_{src}" if len(stats) > 1 else f"{v}" for v, src, _ in cells]
+    if pivoted.columns == list(keys) + names:
+        # the cells are the full value-major grid, in Spark's output order:
+        # rename in one step (one driver call per column less than a select)
+        return pivoted.toDF(*keys, *[out for _, _, out in cells])
+    return pivoted.select(*keys, *[F.col(f"`{n}`").alias(out) for n, (_, _, out) in zip(names, cells)])
 
 
 def long_to_wide(long: DataFrame, keys: list[str], concept: str, values: list,

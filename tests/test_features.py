@@ -352,3 +352,18 @@ def test_pivot_paths_agree(spark, monkeypatch):
     big = grouping.pivot_rows(df, ["p"], "c", cells)
     assert sorted(big.select(*small[0].__fields__).collect()) == small
     assert small[0].asDict() == {"p": 1, "x_a": 1.0, "y_a": 5, "x_b": 2.0, "y_b": None, "x_z": None, "y_z": None}
+
+
+def test_pivot_partial_grid_keeps_names(spark, monkeypatch):
+    """Cells that are not the full value x statistic grid take the per-column
+    rename; both paths name every cell as asked."""
+    from cohortlens.operators import grouping
+    df = spark.createDataFrame([(1, "a", 1.0, 5), (1, "b", 2.0, 6), (2, "a", 3.0, 7)],
+                               "p long, c string, x double, y long")
+    cells = [("a", "x", "xa"), ("b", "y", "yb"), ("a", "y", "ya")]
+    small = sorted(grouping.pivot_rows(df, ["p"], "c", cells).collect())
+    monkeypatch.setattr(grouping, "MANUAL_PIVOT_CELLS", 1)
+    big = grouping.pivot_rows(df, ["p"], "c", cells)
+    assert big.columns == ["p", "xa", "yb", "ya"]
+    assert sorted(big.select(*small[0].__fields__).collect()) == small
+    assert small[0].asDict() == {"p": 1, "xa": 1.0, "yb": 6, "ya": 5}
