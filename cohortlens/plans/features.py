@@ -28,6 +28,7 @@ from ..operators.grouping import (conditional_long, distinct_values, entropy, gr
 from ..operators.joins import assemble, attach_label
 from ..operators.visibility import (CUTOFF_COL, attach_cutoff, cutoff_is_small, is_per_person,
                                    visible_rows)
+from ..session import scratch_path
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
@@ -260,6 +261,14 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
     return pivot_rows(keyed, group, "__pv", cells)
 
 
+def _materialised(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
+    import uuid
+    path = scratch_path(df.sparkSession, f"feature-matrix-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                    defs: list[FeatureSpec] | None = None, layout: str = "wide",
                    encode: bool = False, top_n: int = 10, label: bool = True,
@@ -374,8 +383,14 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     matrix = assemble(base, key, parts, defaults)
     cats = {}
     if encode:
-        enc_cols = [d.name for d in defs if d.categorical and d.name in matrix.columns]
-        matrix, cats = one_hot(matrix, enc_cols, top_n=top_n, values=categories)
+        enc = [d for d in defs if d.categorical and d.name in matrix.columns]
+        missing = [d for d in enc if d.name not in (categories or {})]
+        if any(d.table != config.target for d in missing):
+            # a category computed from a child (e.g. the last code) would re-run
+            # that child's aggregation in every frequency job: write the matrix
+            # once (shared folder, columnar) and read the frequencies from it
+            matrix = _materialised(matrix)
+        matrix, cats = one_hot(matrix, [d.name for d in enc], top_n=top_n, values=categories)
     if label and config.label_table and config.label_table in es:
         matrix = attach_label(matrix, es[config.label_table], key)
     return FeatureResult(matrix, defs, longs, cats)

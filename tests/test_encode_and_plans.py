@@ -31,6 +31,10 @@ def test_feature_matrix_encode(spark):
     cols = res.matrix.columns
     assert "gender_concept_id__is_8532" in cols and "gender_concept_id__is_unknown" in cols
     assert res.categories["gender_concept_id"] == [8532, 8507]
+    # the last-code categories come from children: the matrix was written once
+    # and the frequencies and the encoding read it (no re-aggregation)
+    assert res.matrix.inputFiles() and all("feature-matrix-" in f for f in res.matrix.inputFiles())
+    assert "SortAggregate" not in plan_text(res.matrix)
 
 
 def plan_text(df) -> str:
