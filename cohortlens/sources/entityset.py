@@ -10,6 +10,7 @@ session can read the folder.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import astuple, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -141,15 +142,26 @@ def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(es: EntitySet, path: str, partition_by: str | None = None,
-         mode: str = "errorifexists") -> None:
-    """Write every table as Parquet under ``path/<table>`` plus the specs."""
+         mode: str = "errorifexists", parallel_writes: int = 4) -> None:
+    """Write every table as Parquet under ``path/<table>`` plus the specs.
+
+    The table writes are independent jobs; up to ``parallel_writes`` are
+    submitted at once so the cluster is not idle at each job's tail.  The
+    specs file is written last: a set without it is incomplete.
+    """
     spark = next(iter(es.tables.values())).sparkSession
     base = path.rstrip("/")
-    for name, df in es.tables.items():
+
+    def write(item) -> None:
+        name, df = item
         w = df.write.mode(mode)
         if partition_by and partition_by in df.columns:
             w = w.partitionBy(partition_by)
         w.parquet(f"{base}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_writes, len(es.tables)))) as pool:
+        for done in [pool.submit(write, item) for item in es.tables.items()]:
+            done.result()   # re-raises a failed write
     doc = S.specs_to_json(es.specs)
     rels = json.dumps([list(astuple(r)) for r in es.relationships])
     # the written schemas too: loading then needs no footer-reading job per table
