@@ -9,6 +9,8 @@ original column is replaced.  The frequency table is a distributed
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, functions as F
 
 from .grouping import safe_token
@@ -41,9 +43,12 @@ def one_hot(df: DataFrame, columns: list[str], top_n: int = DEFAULT_TOP_N,
     scoring set is encoded with the training categories.
     """
     kept = dict(values or {})
-    for c in columns:
-        if c not in kept:
-            kept[c] = top_values(df, c, top_n)
+    todo = [c for c in columns if c not in kept]
+    if todo:
+        # independent small jobs: submitted together, not one after another
+        with ThreadPoolExecutor(max_workers=min(4, len(todo))) as pool:
+            for c, top in zip(todo, pool.map(lambda c: top_values(df, c, top_n), todo)):
+                kept[c] = top
     out_cols = []
     for name in df.columns:
         if name not in columns:
