@@ -62,17 +62,23 @@ class EntitySet:
         raise KeyError(f"no relationship into {child}")
 
     def check(self) -> dict[str, dict[str, int]]:
-        """Count duplicate keys and orphan links per table (one job each)."""
-        report = {}
+        """Count duplicate keys and orphan links per table (one job each; the
+        independent jobs are submitted up to four at once)."""
+        report: dict[str, dict[str, int]] = {}
+        jobs = []
         for name, spec in self.specs.items():
             if name not in self.tables:
                 continue
-            entry = {}
+            report[name] = {}
             if spec.key and spec.key in self.tables[name].columns:
-                entry["duplicate_keys"] = self.duplicate_keys(name).count()
+                jobs.append((name, "duplicate_keys", self.duplicate_keys(name)))
             if any(r.child == name for r in self.relationships):
-                entry["orphan_links"] = self.orphans(name).count()
-            report[name] = entry
+                jobs.append((name, "orphan_links", self.orphans(name)))
+        if jobs:
+            with ThreadPoolExecutor(max_workers=min(4, len(jobs))) as pool:
+                counts = list(pool.map(lambda job: job[2].count(), jobs))
+            for (name, what, _), n in zip(jobs, counts):
+                report[name][what] = n
         return report
 
 
