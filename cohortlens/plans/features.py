@@ -14,6 +14,7 @@ layout) and the top categories (for one-hot encoding).
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, asdict, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -150,6 +151,14 @@ def plan_features(es: EntitySet, config: FeatureConfig,
             specs.append(FeatureSpec(c, config.target, "identity", c, categorical=True))
     if config.age_column and config.age_column in tcols:
         specs.append(FeatureSpec(f"age__{config.age_column}", config.target, "age", config.age_column))
+    vocab = dict(vocab or {})
+    wanted = [c for c in config.children if c.table in present and c.where_column
+              and c.where_primitives and c.where_values is None and c.table not in vocab]
+    if wanted:
+        # one distinct job per child table, submitted together
+        with ThreadPoolExecutor(max_workers=min(4, len(wanted))) as pool:
+            found = pool.map(lambda c: distinct_values(es[c.table], c.where_column), wanted)
+            vocab.update({c.table: v for c, v in zip(wanted, found)})
     for child in config.children:
         if child.table not in present:
             continue
@@ -158,11 +167,7 @@ def plan_features(es: EntitySet, config: FeatureConfig,
                         categorical_columns=tuple(c for c in child.categorical_columns if c in have))
         specs += _child_specs(child, child.primitives)
         if child.where_column and child.where_primitives:
-            values = child.where_values
-            if values is None:
-                values = (vocab or {}).get(child.table)
-            if values is None:
-                values = distinct_values(es[child.table], child.where_column)
+            values = child.where_values if child.where_values is not None else vocab[child.table]
             for v in values:
                 specs += _child_specs(child, child.where_primitives, v)
     return specs
