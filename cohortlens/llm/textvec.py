@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SHINGLE_WORDS = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
