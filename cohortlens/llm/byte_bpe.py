@@ -28,7 +28,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: before it, or a run of white space (without its last character if a word follows).
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _NONE = np.int32(2**31 - 1)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000  # of each of two generations
 
 
 class RankQueue:
@@ -116,6 +116,7 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
@@ -214,10 +215,13 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         found = [_CHUNK.findall(x) for x in texts]
         if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
+            self.chunks, self.older = {}, self.chunks
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
         missing = set().union(*found).difference(self.chunks)
+        if known := missing.intersection(self.older):
+            self.chunks.update((x, self.older[x]) for x in known)
+            missing -= known
         if missing:
             split = {x: self.pattern.findall(x) for x in missing}
             self.encode_pieces(list(set().union(*split.values()).difference(self.pieces)))
