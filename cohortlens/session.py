@@ -25,6 +25,10 @@ SCALE_CONF = {
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "cohortlens", memory: str = "8g") -> SparkSession:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:  # Python workers import the package from here
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
@@ -47,14 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set a scratch one only when none is set.
+    """Return the checkpoint folder; set a scratch one only in a local session without one.
 
     A cluster names its shared folder in ``spark.checkpoint.dir``; that value
-    always wins.  Only an unconfigured session (tests, local bench) gets a
-    fresh folder under the system temp directory.
+    always wins, and a cluster session without it is refused: executors do not
+    share the driver's temp directory.
     """
     d = checkpoint_dir(spark)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
