@@ -96,7 +96,9 @@ def measured(docs: DataFrame, column: str = "text") -> DataFrame:
 def ledger(docs: DataFrame, column: str = "text") -> DataFrame:
     """``measured`` plus ``rule_bits`` (long): bit i is set where RULES[i] fails."""
     bits = " + ".join(f"(CASE WHEN {cond} THEN {1 << i}L ELSE 0L END)" for i, (_, cond) in enumerate(RULES))
-    return measured(docs, column).withColumn("rule_bits", F.expr(bits))
+    # The row number's sign bit is 0.  As it is not deterministic, a filter on the bits is not
+    # pushed below: Catalyst would copy the measurements' expressions into it, each into the next.
+    return measured(docs, column).withColumn("rule_bits", F.expr(f"{bits} + shiftright(monotonically_increasing_id(), 63)"))
 
 
 def apply_policy(led: DataFrame, policy: Policy, name: str = "kept") -> DataFrame:
