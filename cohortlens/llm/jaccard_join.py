@@ -3,17 +3,20 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes; equal sets are one node.
 Two sets link when 100 * both >= 75 * either.
 
-1. Candidates.  With any one order of shingles, linked sets share a shingle among the first
-   ``n - ceil(0.75 n) + 1`` of each.  The order puts shingles known as common last (a
-   bounded list of the commonest; which are on it decides speed, not results), so prefixes hold rare ones.
-   Tasks get the prefixes by shingle and return the distinct lists of nodes that share one.
-2. Search.  In each list every node is checked against the list's smallest node.  A
-   check is a T-occurrence search: the query's shingles give inverted lists over the nodes to
-   check; the longest lists are set aside, the short ones merged with a heap, and nodes that can still
-   reach the required overlap are probed in the long ones by binary search (DivideSkip).
-3. Links found so far join nodes into components.  What is left are pairs that share a list but
-   lie in different components: these are searched in the same way, all of them.  A group of
-   thousands of near copies is thus linked through its smallest nodes and never expanded into pairs.
+1. Candidates.  With any one order of shingles, linked sets of n shingles share at least ``least_shared`` = l shingles
+   among the first ``n - ceil(0.75 n) + l`` of each (the smaller l of the two).  The order puts shingles known as
+   common last (a bounded list of the commonest; which are on it decides speed, not results), so these prefixes hold rare
+   ones.  Tasks get the prefixes by shingle and return the distinct lists of nodes that share shingles, with how many.
+   A node that shares too few for any link leaves all lists.
+2. Stars.  The smallest node of a list is its centre, and is checked against the list's others.
+3. Search.  Links found so far join nodes into components.  Lists of one centre make up its neighbourhood; any two
+   nodes of a list are in one.  A neighbourhood with several components is searched whole, in blocks of ``GROUP``
+   nodes against ``GROUP``: nodes outside the commonest component are queries over the others.
+
+A check of a query is a T-occurrence search (DivideSkip): its shingles give inverted lists over the block's nodes; the longest
+are set aside, the short ones merged with a heap, and nodes that can still reach the required overlap are probed in the long
+ones by binary search.  A group of thousands of near copies is linked through its centres; only what stays outside is searched
+against the rest, and pairs are never made into rows.
 """
 
 from __future__ import annotations
@@ -34,10 +37,12 @@ from .shared import written
 PERCENT = 75
 COMMON_SHINGLES = 200_000  # shingles put last in the order
 COMMON_FROM = 3  # times seen in one block of a task to be reported
-REPORT_SHINGLES = 1 << 20  # shingles of such a block
+REPORT_SHINGLES = 1 << 22  # shingles of such a block
 HOT_FROM = 20_000  # reports beyond which a shingle's nodes are spread over tasks
-GROUP = 512  # nodes searched together for one query
+SHARE = 8  # linked sets share one in so many of their shingles, at least, within their prefixes
+GROUP = 512  # nodes of a block
 FILTER_BITS = 24
+HEAP_ITEMS = 2_000  # longer merges are done by one sort of the lists' concatenation
 MU = 0.0085  # fixed value: DivideSkip's published weight for the number of long lists
 
 
@@ -46,8 +51,13 @@ def needed(n_a, n_b, percent: int = PERCENT):
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
+def least_shared(n):
+    """Shingles that two linked sets share in their prefixes; the smaller set's number counts."""
+    return 1 + n // SHARE
+
+
 def prefix_length(n, percent: int = PERCENT):
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + least_shared(n)
 
 
 def _sets(batch: pa.RecordBatch, column: str = "text"):
@@ -106,12 +116,12 @@ def profile(docs: DataFrame) -> DataFrame:
 
 PART = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("hot", T.BooleanType()),
                      T.StructField("codes", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
-LIST = T.StructType([T.StructField("list_id", T.LongType()), T.StructField("node", T.LongType())])
+LIST = T.StructType([T.StructField("list_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("shared", T.LongType())])
 
 
 def shared_lists(docs: DataFrame, common: np.ndarray, times: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(list_id, node) rows of the distinct lists of two or more nodes with a common prefix
-    shingle.  ``common`` (sorted) and ``times``: the known common shingles."""
+    """(list_id, node, shared) rows of the lists of two or more nodes with common prefix
+    shingles, and how many (to be summed over rows).  ``common`` (sorted) and ``times``: the known common shingles."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = spark.sparkContext.broadcast((common, times))  # at most COMMON_SHINGLES entries
@@ -156,32 +166,32 @@ def shared_lists(docs: DataFrame, common: np.ndarray, times: np.ndarray, percent
             yield flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        got: dict[bool, list] = {False: [], True: []}
         for batch in batches:
             for hot, c, n in zip(*(batch.column(x).to_pylist() for x in ("hot", "codes", "nodes")), strict=True):
-                c, n = np.frombuffer(c, np.uint64), np.frombuffer(n, np.int64)
-                if hot:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=LIST.fieldNames())
-                else:
-                    codes.append(c)
-                    nodes.append(n)
-        code, node = np.concatenate(codes), np.concatenate(nodes)
-        order = np.lexsort((node, code))
-        code, node = code[order], node[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (node[1:] != node[:-1])
-        code, node = code[new], node[new]
-        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-        count = np.diff(np.append(head, len(code)))
-        if not (count > 1).any():
-            return
-        of = np.add.reduceat(V.mix(node.view(np.uint64)), head)
-        head, count, of = head[count > 1], count[count > 1], V.mix(of[count > 1]).view(np.int64)
-        of, first = np.unique(of, return_index=True)
-        for lo in range(0, len(of), 1 << 14):
-            rows = [node[head[i]:head[i] + count[i]] for i in first[lo:lo + (1 << 14)].tolist()]
-            ids = np.repeat(of[lo:lo + (1 << 14)], [len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(rows))], names=LIST.fieldNames())
+                got[hot].append((np.frombuffer(c, np.uint64), np.frombuffer(n, np.int64)))
+        for hot, held in got.items():
+            if not held:
+                continue
+            code, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, code))
+            code, node = code[order], node[order]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (node[1:] != node[:-1])
+            code, node = code[new], node[new]
+            if hot:  # only a part of each list is here: it goes by its shingle
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(node), pa.array(np.ones(len(node), np.int64))], names=LIST.fieldNames())
+                continue
+            head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            count = np.diff(np.append(head, len(code)))
+            of = np.add.reduceat(V.mix(node.view(np.uint64)), head)
+            head, count, of = head[count > 1], count[count > 1], V.mix(of[count > 1]).view(np.int64)
+            of, first, times = np.unique(of, return_index=True, return_counts=True)
+            for lo in range(0, len(of), 1 << 14):
+                rows = [node[head[i]:head[i] + count[i]] for i in first[lo:lo + (1 << 14)].tolist()]
+                size = [len(r) for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[lo:lo + (1 << 14)], size)) if x is not None else pa.array(np.concatenate(rows))
+                                                  for x in (of, None, times)], names=LIST.fieldNames())
 
     return (docs.select("text").mapInArrow(emit, PART).repartition(parts, "part").select("hot", "codes", "nodes")
             .mapInArrow(gather, LIST))
@@ -189,35 +199,86 @@ def shared_lists(docs: DataFrame, common: np.ndarray, times: np.ndarray, percent
 
 # -- T-occurrence search ------------------------------------------------------
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], need: np.ndarray) -> np.ndarray:
-    """Which of ``sets`` (sorted distinct hashes) share at least ``need[i]`` hashes with ``query``."""
-    size = [len(s) for s in sets]
-    code, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    at = np.minimum(np.searchsorted(query, code), len(query) - 1)
-    hit = query[at] == code
-    if len(sets) == 1:  # the lists hold one node: their number is its overlap
-        return np.array([hit.sum() >= need[0]])
-    at, member = at[hit], member[hit]
-    order = np.lexsort((member, at))
-    at, member = at[order], member[order]
-    length = np.bincount(at, minlength=len(query))
-    start = np.cumsum(length) - length
-    least = int(need.min())
-    long_n = min(int(least / (MU * math.log(max(2, int(length.max(initial=1)))) + 1)), least - 1)
-    by_length = np.argsort(-length, kind="stable")
-    long_ones, short_ones = by_length[:long_n], by_length[long_n:]
-    lists = [member[start[i]:start[i] + length[i]].tolist() for i in short_ones if length[i]]
-    count = np.zeros(len(sets), np.int64)
-    for m, run in groupby(heapq.merge(*lists)):
-        count[m] = sum(1 for _ in run)
-    able = np.flatnonzero(count >= need - long_n)
-    if len(able) and long_n:
-        key = at * len(sets) + member  # sorted: by list, then member
-        probe = (long_ones[:, None] * len(sets) + able).ravel()
-        found = np.searchsorted(key, probe)
-        inside = (found < len(key)) & (key[np.minimum(found, max(0, len(key) - 1))] == probe) if len(key) else np.zeros(len(probe), bool)
-        count[able] += inside.reshape(long_n, -1).sum(axis=0)
-    return count >= need
+class Index:
+    """Inverted lists over ``sets`` (sorted distinct hashes each)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        code = np.concatenate(sets)
+        member = np.repeat(np.arange(len(sets)), self.size)
+        order = np.lexsort((member, code))
+        self.member = member[order]
+        self.code, at, self.length = np.unique(code, return_index=True, return_counts=True) if len(sets) == 1 else self._lists(code[order])
+        self.start = at
+        self.key = np.repeat(np.arange(len(self.code)), self.length) * len(sets) + self.member  # by list, then node
+
+    @staticmethod
+    def _lists(code: np.ndarray):
+        head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        return code[head], head, np.diff(np.append(head, len(code)))
+
+    def search(self, query: np.ndarray, need: np.ndarray, able: np.ndarray) -> np.ndarray:
+        """Nodes among ``able`` (flags) that share at least ``need[i]`` hashes with ``query``."""
+        n = len(self.size)
+        at = np.minimum(np.searchsorted(self.code, query), len(self.code) - 1)
+        at = at[self.code[at] == query]
+        if not able.any() or len(at) < need[able].min():
+            return np.zeros(0, np.int64)
+        at = at[np.argsort(self.length[at], kind="stable")]  # short lists first
+        least = int(need[able].min())
+        long_n = min(int(least / (MU * math.log(max(2, int(self.length[at[-1]]))) + 1)), least - 1)
+        short, long_ = at[:len(at) - long_n], at[len(at) - long_n:]
+        total = int(self.length[short].sum())
+        count = np.zeros(n, np.int64)
+        if total <= HEAP_ITEMS:
+            lists = [self.member[self.start[x]:self.start[x] + self.length[x]].tolist() for x in short]
+            for m, run in groupby(heapq.merge(*lists)):
+                count[m] = sum(1 for _ in run)
+        else:
+            first = np.cumsum(self.length[short]) - self.length[short]
+            place = np.arange(total) + np.repeat(self.start[short] - first, self.length[short])
+            m, c = np.unique(self.member[place], return_counts=True)
+            count[m] = c
+        may = np.flatnonzero(able & (count >= need - long_n))
+        if len(may) and long_n:
+            probe = (long_[:, None] * n + may).ravel()
+            found = np.minimum(np.searchsorted(self.key, probe), len(self.key) - 1)
+            count[may] += (self.key[found] == probe).reshape(long_n, -1).sum(axis=0)
+        return may[count[may] >= need[may]]
+
+
+def block_links(names: list[int], labels: list[int], sets: list[np.ndarray], side: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join different labels of a block; with two sides only links between them.  One
+    link for each pair of labels joined (the rest follow)."""
+    top: dict[int, int] = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    values, code, count = np.unique(np.array(labels), return_inverse=True, return_counts=True)
+    if len(values) < 2:
+        return []
+    side_ = np.array(side)
+    two = len(set(side)) > 1
+    index = Index(sets)
+    own = code.copy()  # current label of each node
+    out = []
+    queries = np.flatnonzero(code != count.argmax())
+    if two:  # or all of one side, if those are fewer
+        queries = min(queries, *(np.flatnonzero(side_ == x) for x in np.unique(side_)), key=len)
+    for q in queries.tolist():
+        able = own != own[q]
+        if two:
+            able &= side_ != side_[q]
+        need = needed(len(sets[q]), index.size, percent)
+        able &= need <= np.minimum(index.size, len(sets[q]))
+        for m in index.search(sets[q], need, able).tolist():
+            if own[m] != own[q]:
+                out.append((names[q], names[m]))
+                own[own == own[m]] = own[q]
+    return out
 
 
 def _filter(nodes: DataFrame) -> np.ndarray:
@@ -255,48 +316,54 @@ def _set_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (query, node) that link, as (a, b).  Nodes of one query are searched
-    together, at most about ``GROUP`` at a time."""
-    pairs = written(pairs.select("query", "node"), "pairs")
-    per = pairs.groupBy("query").agg(F.count("*").alias("c"))
-    pairs = (pairs.join(per, "query")
-             .select("query", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("chunk")))
-    nodes = pairs.select(F.explode(F.array("query", "node")).alias("node"))
-    # several tasks may send the same set: equal rows, one is kept per group below
-    sets = _set_rows(docs, nodes)
-    asked = pairs.select("query", "chunk").distinct().select("query", "chunk", F.col("query").alias("node"))
-    rows = asked.unionByName(pairs.select("query", "chunk", "node")).join(sets, "node")
+def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within blocks.  ``members``: unit, i, j (a block's name), node, label, side."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = written(members.select("unit", "i", "j", "node", "label", "side"), "members")
+    rows = members.join(_set_rows(docs, members), "node")  # tasks may send a set twice: equal rows
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def finish(query, members):
-            q = members.pop(query)
-            names = list(members)
-            sets = [members[x] for x in names]
-            need = needed(len(q), np.array([len(s) for s in sets]), percent)
-            ok = t_occurrence(q, sets, need)
-            return [(query, x) for x, y in zip(names, ok, strict=True) if y]
-
-        group, members, out = None, {}, []
+        def finish():
+            if len(held) < 2:
+                return []
+            labels, sides, sets = zip(*held.values(), strict=True)
+            return block_links(list(held), list(labels), list(sets), list(sides), percent)
+
+        block, held, out = None, {}, []
         for batch in batches:
-            for query, chunk, node, codes in zip(*(batch.column(c) for c in ("query", "chunk", "node", "codes")), strict=True):
-                key = (query.as_py(), chunk.as_py())
-                if key != group:
-                    if len(members) > 1:
-                        out += finish(group[0], members)
-                    group, members = key, {}
-                members[node.as_py()] = np.frombuffer(codes.as_buffer(), np.uint64)
+            codes = batch.column("codes")
+            cols = [batch.column(c).to_pylist() for c in ("unit", "i", "j", "node", "label", "side")]
+            for row, (u, i, j, node, label, side) in enumerate(zip(*cols, strict=True)):
+                if (u, i, j) != block:
+                    out += finish()
+                    block, held = (u, i, j), {}
+                held[node] = (label, side, np.frombuffer(codes[row].as_py(), np.uint64))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=LINK.fieldNames())
                 out = []
-        if len(members) > 1:
-            out += finish(group[0], members)
-        if out:
+        if out := finish():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=LINK.fieldNames())
 
-    return (rows.repartition(parts, "query", "chunk").sortWithinPartitions("query", "chunk", "node")
-            .mapInArrow(search, LINK))
+    return rows.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node").mapInArrow(search, LINK)
+
+
+def star_links(docs: DataFrame, stars: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) among ``stars`` (unit: the centre, node): the centre is one side, blocks of nodes the other."""
+    per = stars.groupBy("unit").agg(F.count("*").alias("c"))
+    nodes = stars.join(per, "unit").select("unit", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("i"), "node", F.lit(1).alias("side"))
+    centres = nodes.select("unit", "i", F.col("unit").alias("node"), F.lit(0).alias("side")).distinct()
+    every = nodes.unionByName(centres)
+    return _searched(docs, every.withColumn("j", F.lit(0).cast("long")).withColumn("label", F.col("node")), percent)
+
+
+def neighbourhood_links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different labels among ``members`` (unit, node, label) of a unit."""
+    per = (members.groupBy("unit").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+           .where("lo <> hi AND c > 2").select("unit", F.ceil(F.col("c") / GROUP).alias("k")))
+    rows = members.join(per, "unit").withColumn("side", F.pmod(F.xxhash64("node"), F.col("k")))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    return _searched(docs, rows.select("unit", F.least("side", "x").alias("i"), F.greatest("side", "x").alias("j"), "node", "label",
+                                       F.col("side").cast("int").alias("side")), percent)
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -311,26 +378,24 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
            .orderBy(F.desc("times"), "code").limit(COMMON_SHINGLES).toPandas())
     common = top["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
-    lists = written(shared_lists(docs, common[order], top["times"].to_numpy(np.int64)[order], percent), "lists").distinct()
+    lists = written(shared_lists(docs, common[order], top["times"].to_numpy(np.int64)[order], percent), "lists")
     size = info.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    lists = written(lists.join(size, "node"), "lists-sized")
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    lists = written(lists.groupBy("list_id", "node").agg(F.sum("shared").alias("shared")).join(size, "node"), "lists-sized")
 
+    # what a node shares with all others together must reach what a link to the smallest possible partner needs
+    enough = (lists.groupBy("node").agg(F.sum("shared").alias("w"), F.first("n").alias("n"))
+              .where(f"w >= 1 + (({percent} * n + 99) div 100) div {SHARE}").select("node"))
+    lists = written(lists.join(enough, "node"), "lists-enough")
     first = lists.groupBy("list_id").agg(F.min(F.struct("node", "n")).alias("m"))
-    stars = (lists.join(first, "list_id").where(F.col("node") != F.col("m.node"))
-             .where(close(F.col("n"), F.col("m.n"))).select(F.col("m.node").alias("query"), "node").distinct())
-    found = written(verified(docs, stars, percent), "links")
+    stars = written(lists.join(first, "list_id").where(F.col("node") != F.col("m.node"))
+                    .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m")), "stars")
+    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    found = written(star_links(docs, stars.where(close).select("unit", "node"), percent), "links")
     labels = components(found)
 
-    named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.groupBy("list_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2")
-    left = written(named.join(mixed.select("list_id"), "list_id"), "lists-open")
-    a, b = left.alias("a"), left.alias("b")
-    rest = (a.join(b, F.expr("a.list_id = b.list_id AND a.label < b.label"))
-            .where(close(F.col("a.n"), F.col("b.n")))
-            .select(F.least("a.node", "b.node").alias("query"), F.greatest("a.node", "b.node").alias("node")).distinct()
-            .join(stars, ["query", "node"], "left_anti"))
-    more = written(verified(docs, rest, percent), "links")
+    members = stars.select("unit", "node").unionByName(stars.select("unit", F.col("unit").alias("node")).distinct())
+    members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = written(neighbourhood_links(docs, members, percent), "links")
     if not more.isEmpty():
         labels = components(found.unionByName(more))
     named = info.join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
