@@ -114,14 +114,12 @@ def build(universe: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame,
     """(cascade table, shards) from distinct keys ``key`` (not null) with ``listed`` (boolean).
 
     A key listed in any row counts as listed; repeated keys are merged first (on the map
-    side).  No listed key gives an empty table: nothing is listed."""
+    side).  A shard without a listed key has no levels: nothing is listed."""
     keys = written(universe.groupBy("key").agg(F.max("listed").alias("listed")), "url-universe")
     shards = max(1, -(-keys.count() // shard_keys))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         levels = build_levels(pdf["_a"].to_numpy(np.int64), pdf["_b"].to_numpy(np.int64), pdf["listed"].to_numpy(bool))
-        if not levels:
-            return pd.DataFrame({f.name: [] for f in CASCADE})
         return pd.DataFrame({"shard": [int(pdf["_shard"].iloc[0])], "bits": [[x for x, _ in levels]],
                              "maps": [[m.tobytes() for _, m in levels]], "bytes": [sum(len(m) for _, m in levels)]})
 
