@@ -28,7 +28,7 @@ _WS = "\t-\r \x85\xa0  -     　"
 #: before it, or a run of white space (without its last character if a word follows).
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _NONE = np.int32(2**31 - 1)
-CACHE_ENTRIES = 300_000  # of each of two generations
+CACHE_ENTRIES = 120_000  # of each of two generations
 
 
 class RankQueue:
@@ -252,7 +252,7 @@ def _groups(texts: list[str], chars: int):
         yield texts[lo:]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", block_chars: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", block_chars: int = 3 << 20) -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (little-endian unsigned 32-bit integers as
     binary).  Null text counts as empty (no ids).  Repeated rows are encoded alike; an
     empty table stays empty.  Raises if ``docs`` already has a column ``ids``."""
