@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,7 +25,8 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 400_000  # of each of two generations
+CACHE_WORDS = 150_000  # of each of two generations
+JOINED = 500  # words given to the tokenizer as one text
 
 
 class Words:
@@ -39,18 +41,39 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
-        """(core, mark): pure ASCII is lower-cased and one ``.`` or ``,`` after a letter split off, as
+        """(core, mark): one ``.`` or ``,`` after a letter is split off and pure ASCII lower-cased, as
         the tokenizer itself does with either; other words stay whole."""
-        if not word.isascii():
-            return word, ""
-        word = word.lower()
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
-            return word[:-1], word[-1]
-        return word, ""
+        if len(word) > 1 and word[-1] in ".," and unicodedata.normalize("NFC", word[-2]).lower().isalpha():
+            word, mark = word[:-1], word[-1]
+        else:
+            mark = ""
+        return word.lower() if word.isascii() else word, mark
+
+    def encoded(self, cores: list[str]) -> dict[str, bytes]:
+        """Ids of each word.  Words of letters alone are one pre-token each, so many go in as one
+        text, and an id that ends a pre-token ends a word."""
+        plain = [x for x in cores if x.isalpha()]
+        rest = [x for x in cores if not x.isalpha()]
+        out = {}
+        groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(group):  # a letter became a letter and a mark
+                rest += group
+                continue
+            raw, cut = ids.tobytes(), (4 * end).tolist()
+            out |= {x: raw[a:b] for x, a, b in zip(group, [0, *cut], cut, strict=False)}
+        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[x] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -65,8 +88,7 @@ class Words:
         if missing:
             parts = [self.parts(x) for x in missing]
             cores = list({c for c, _ in parts}.difference(cache))
-            flat = self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)
-            new = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(cores, flat, strict=True)}
+            new = self.encoded(cores)
             for x, (core, mark) in zip(missing, parts, strict=True):
                 ids = new[core] if core in new else cache[core]
                 cache[x] = ids + self.marks[mark] if mark else ids
