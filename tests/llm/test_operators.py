@@ -308,6 +308,18 @@ def test_tree_matches_definition_in_any_number_of_passes(docs_of, monkeypatch):
         assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
 
 
+def test_contexts_grow_until_the_divergence_test_ends_them(docs_of, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["xabcdefghij1", "yabcdefghij2"], 30)) for _ in range(8)]  # the digit follows from 11 bytes before
+    with monkeypatch.context() as m:
+        m.setattr(suffix_lm, "DEPTH", 24)
+        want = brute_tree(texts)
+    df = docs_of(texts)
+    got = {r.doc_id: r.score for r in suffix_lm.score(df, *suffix_lm.learned(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, rel=1e-4)
+    assert min(got.values()) > 30 * math.log10(1 / 2) - 10  # a bit for each word's first letter, next to nothing for its digit
+
+
 # -- 7 n-gram Jaccard join -------------------------------------------------------
 
 def brute_components(rows):
