@@ -5,14 +5,17 @@ windows and one rest.  How many rests of each length there are is a histogram of
 most ``window`` numbers, whatever the corpus, so the packing plan is made from it:
 ``plan`` takes the longest remaining length, finds by a bitset subset-sum over the
 remaining multiset the fill closest to the window, backtracks the counts, and repeats
-that pattern as often as the counts allow.  Pieces are then numbered within their length
+that pattern as often as the counts allow.  Where the fill leaves a gap, one more rest is cut: its head
+fills the gap and its tail goes back into the histogram, so that only the last sequence
+is not full.  Pieces are then numbered within their length
 by Spark (cut by a hash salt, so a length that holds a third of all pieces is spread over tasks) and
-look up sequence and offset by that number.
+look up sequence, offset and cuts by that number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 import unicodedata
 import zlib
@@ -113,7 +116,7 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("star
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
            block_chars: int = 2 << 20) -> DataFrame:
     """Full windows and the rest of each document.  Null text counts as empty: its only id is
-    ``end_id``.  ``ids`` (binary) is null unless ``keep_ids``."""
+    ``end_id``.  ``ids`` (binary) is null for full windows unless ``keep_ids``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def blocks(texts):
@@ -137,7 +140,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                     n = len(ids) // 4
                     for s in range(0, n, window):
                         part = ids[4 * s:4 * (s + window)]
-                        out.append((key, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None))
+                        out.append((key, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids or len(part) < 4 * window else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)],
                                                  names=PIECE.fieldNames())
 
@@ -173,11 +176,19 @@ def best_fill(counts: dict[int, int], capacity: int, totals: list[int]) -> dict[
     return out
 
 
-def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
-    """(lengths with counts, repetitions) of the sequences that hold all pieces.
+@dataclass
+class Pattern:
+    """A sequence's lengths with counts, and how often it is made."""
 
-    A sequence that ends at a power of two needs no padding, so where the window can't
-    be filled exactly such a sum is taken if there is one."""
+    used: dict[int, int]
+    times: int
+    cut: tuple[int, int] | None = None  # a further piece's length, and how much of its head goes in
+
+
+def plan(counts: dict[int, int], window: int = WINDOW) -> list[Pattern]:
+    """The sequences that hold all pieces: full windows and at most one shorter sequence.
+
+    The tails of cut pieces are pieces of later patterns."""
     counts = {k: v for k, v in counts.items() if v}
     out = []
     while counts:
@@ -186,35 +197,71 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[dict[int, i
         rest[longest] -= 1
         if not rest[longest]:
             del rest[longest]
-        capacity = window - longest
-        totals = [capacity, *(2**k - longest for k in range(window.bit_length() - 1, -1, -1) if 0 <= 2**k - longest < capacity)]
-        used = best_fill(rest, capacity, totals)
-        used[longest] = used.get(longest, 0) + 1
-        times = min(counts[x] // n for x, n in used.items())
+        used = best_fill(rest, window - longest, [window - longest])
         for x, n in used.items():
+            rest[x] -= n
+        used[longest] = used.get(longest, 0) + 1
+        gap = window - sum(x * n for x, n in used.items())
+        # what is left doesn't fit; the commonest length is cut
+        cut = max((x for x, n in rest.items() if n), key=lambda x: (rest[x], x), default=None) if gap else None
+        need = dict(used)
+        if cut:
+            need[cut] = need.get(cut, 0) + 1
+        times = min(counts[x] // n for x, n in need.items())
+        for x, n in need.items():
             counts[x] -= n * times
             if not counts[x]:
                 del counts[x]
-        out.append((used, times))
+        if cut:
+            counts[cut - gap] = counts.get(cut - gap, 0) + times
+        out.append(Pattern(used, times, (cut, gap) if cut else None))
     return out
 
 
-def _lookup(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
-    """Per length, rows (first number, first sequence, copies in the pattern, offset)."""
+def _lookup(patterns: list[Pattern], counts: dict[int, int]) -> dict[int, np.ndarray]:
+    """Per length, rows (first number, first sequence, copies in the pattern, offset, length of
+    the head that is cut off or 0, number of the first tail).  Tails are numbered after the ``counts`` pieces of their length."""
     rows: dict[int, list] = {}
     seen: dict[int, int] = {}
+    made = dict(counts)
     base = 0
-    for used, times in patterns:
+    for p in patterns:
         offset = 0
-        for length in sorted(used, reverse=True):
-            n = used[length]
-            rows.setdefault(length, []).append((seen.get(length, 0), base, n, offset))
-            seen[length] = seen.get(length, 0) + n * times
+        for length in sorted(p.used, reverse=True):
+            n = p.used[length]
+            rows.setdefault(length, []).append((seen.get(length, 0), base, n, offset, 0, 0))
+            seen[length] = seen.get(length, 0) + n * p.times
             offset += n * length
-        base += times
+        if p.cut:
+            length, head = p.cut
+            tail = length - head
+            rows.setdefault(length, []).append((seen.get(length, 0), base, 1, offset, head, made.get(tail, 0)))
+            seen[length] = seen.get(length, 0) + p.times
+            made[tail] = made.get(tail, 0) + p.times
+        base += p.times
     return {k: np.array(v, np.int64) for k, v in rows.items()}
 
 
+def _placed(lookup: dict[int, np.ndarray], length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, skipped, length, sequence, offset) of what becomes of each piece: itself, or its
+    parts in order, ``skipped`` ids after its start."""
+    out = []
+    row, skipped = np.arange(len(length)), np.zeros(len(length), np.int64)
+    while len(row):
+        found = np.zeros((len(row), 5), np.int64)  # sequence, offset, length, tail's length, tail's number
+        for x in np.unique(length):
+            at = np.flatnonzero(length == x)
+            table = lookup[int(x)]
+            r = table[np.searchsorted(table[:, 0], number[at], side="right") - 1]
+            k = number[at] - r[:, 0]
+            head = np.where(r[:, 4] > 0, r[:, 4], x)
+            found[at] = np.stack([r[:, 1] + k // r[:, 2], r[:, 3] + k % r[:, 2] * x, head, x - head, r[:, 5] + k], axis=1)
+        out.append((row, skipped, found[:, 2], found[:, 0], found[:, 1]))
+        on = found[:, 3] > 0
+        row, skipped, length, number = row[on], (skipped + found[:, 2])[on], found[on, 3], found[on, 4]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (row, skipped, length, number, number)
+
+
 def numbered(parts: DataFrame) -> DataFrame:
     """``parts`` plus ``number``: 0, 1, ... within each length, without a task that holds a
     whole length (salted row numbers plus the counts of the salts before)."""
@@ -229,30 +276,40 @@ def numbered(parts: DataFrame) -> DataFrame:
 
 def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    (and ``ids`` if asked for): every id in one piece, pieces of a sequence gapless from 0, at
-    most ``window`` ids each.
+    (and ``ids`` if asked for): every id in one piece, pieces of a sequence gapless from 0, exactly
+    ``window`` ids in each sequence but one.
 
     Repeated rows are packed each for itself; an empty table gives no rows; other columns of
     ``docs`` are ignored.  The pieces are written once to the shared folder, so a lost executor
     costs no second tokenisation and no number is given twice."""
-    names = [f for f in PIECE.fieldNames() if keep_ids or f != "ids"]
-    parts = written(pieces(docs, path, window, end_id, keep_ids).select(*names), "pieces")
+    parts = written(pieces(docs, path, window, end_id, keep_ids), "pieces")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    lookup = _lookup(plan(counts, window))
+    patterns = plan(counts, window)
+    lookup = _lookup(patterns, counts)
+    cut = sorted({p.cut[0] for p in patterns if p.cut} & set(counts))
+    if not keep_ids:  # ids are needed for the checksums of cut pieces alone
+        parts = parts.withColumn("ids", F.when(F.col("length").isin(cut), F.col("ids")))
+    names = [f for f in PIECE.fieldNames() if keep_ids or f != "ids"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, number = batch.column("length").to_numpy(), batch.column("number").to_numpy()
-            seq, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length):
-                at = np.flatnonzero(length == x)
-                table = lookup[int(x)]
-                row = table[np.searchsorted(table[:, 0], number[at], side="right") - 1]
-                k = number[at] - row[:, 0]
-                seq[at] = row[:, 1] + k // row[:, 2]
-                offset[at] = row[:, 3] + k % row[:, 2] * x
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(offset)],
-                                             names=[*names, "sequence_id", "offset"])
+            before = batch.column("length").to_numpy()
+            row, skipped, length, seq, offset = _placed(lookup, before, batch.column("number").to_numpy())
+            out = {c: batch.column(c).take(pa.array(row)) for c in names}
+            out["start"], out["length"] = pa.array(out["start"].to_numpy() + skipped), pa.array(length)
+            halves = np.flatnonzero(length != before[row])
+            if len(halves):
+                crc, ids = out["ids_crc32"].to_numpy().copy(), batch.column("ids")
+                whole = out["ids"].to_pylist() if keep_ids else None
+                for i in halves.tolist():
+                    part = ids[row[i]].as_py()[4 * skipped[i]:4 * (skipped[i] + length[i])]
+                    crc[i] = zlib.crc32(part)
+                    if keep_ids:
+                        whole[i] = part
+                out["ids_crc32"] = pa.array(crc)
+                if keep_ids:
+                    out["ids"] = pa.array(whole, pa.binary())
+            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(seq), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = T.StructType([*parts.select(*names).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return numbered(parts).mapInArrow(place, schema)

@@ -209,6 +209,25 @@ def test_packing_places_every_id_once(edge, sample):
     assert packing.packed(empty(edge), P.path("word_bpe_49k.json")).collect() == []
 
 
+@pytest.mark.parametrize("hot", [{1030: 5000}, {1300: 3000, 900: 40, 12: 5}, {1100: 1000, **{x: 3 for x in range(1, 800, 3)}}])
+def test_only_one_sequence_is_not_full(hot):
+    patterns = packing.plan(hot, 2048)
+    sizes = [sum(x * n for x, n in p.used.items()) + (p.cut[1] if p.cut else 0) for p in patterns]
+    assert all(x == 2048 for x in sizes[:-1]) and sum(p.times for p in patterns) == -(-sum(x * n for x, n in hot.items()) // 2048)
+
+
+def test_a_hot_length_is_cut_to_fill_the_windows(docs_of):
+    rows = ["alpha beta gamma delta epsilon zeta eta theta"] * 60 + ["one two three"] * 3 + [None]
+    df = docs_of(rows)
+    for window in (16, 13):
+        seqs = check_packing(packing.packed(df, P.path("word_bpe_49k.json"), window=window, keep_ids=True).collect(), window, pairs_of(df))
+        sizes = [sum(n for _, n in s) for s in seqs.values()]
+        assert sum(x < window for x in sizes) <= 1
+    plain = packing.packed(df, P.path("word_bpe_49k.json"), window=13).collect()
+    kept = packing.packed(df, P.path("word_bpe_49k.json"), window=13, keep_ids=True).drop("ids").collect()
+    assert sorted(map(str, plain)) == sorted(map(str, kept))
+
+
 def test_best_fill_is_the_best_subset_sum():
     rng = np.random.default_rng(0)
     for _ in range(200):
