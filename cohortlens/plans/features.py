@@ -24,7 +24,7 @@ from ..functions.primitives import PRIMITIVES, default_for, primitive
 from ..functions.scaling import age_years
 from ..operators.encode import one_hot
 from ..operators.grouping import (conditional_long, distinct_values, entropy, grouped_median,
-                                  grouped_mode, long_to_map, long_to_wide, n_most_common,
+                                  grouped_mode, long_to_map, n_most_common,
                                   pivot_rows, safe_token)
 from ..operators.joins import assemble, attach_label
 from ..operators.visibility import (CUTOFF_COL, attach_cutoff, cutoff_is_small, is_per_person,
@@ -52,6 +52,7 @@ class ChildConfig:
     where_column: str | None = None            # concept column of conditional features
     where_primitives: tuple[str, ...] = ()
     where_values: tuple | None = None          # None: every distinct value
+    n_most_common: int = N_MOST_COMMON         # values of the n_most_common primitive
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,9 @@ class FeatureSpec:
     primitive: str             # aggregate primitive, "identity" or "age"
     column: str | None = None
     where_column: str | None = None
-    where_value: object = None
+    where_value: object = None  # None with a where_column: every value (long and map layouts)
     categorical: bool = False  # output is categorical (one-hot target)
+    n: int = N_MOST_COMMON     # values of n_most_common
 
     @property
     def display(self) -> str:
@@ -79,7 +81,7 @@ class FeatureSpec:
             return self.column
         inner = self.table if self.column is None else f"{self.table}.{self.column}"
         if self.where_column is not None:
-            inner += f" WHERE {self.where_column} = {self.where_value}"
+            inner += f" WHERE {self.where_column} = {'each' if self.where_value is None else self.where_value}"
         return f"{self.primitive.upper()}({inner})"
 
 
@@ -110,37 +112,42 @@ def feature_name(table: str, prim: str, column: str | None = None,
     return name
 
 
-def _child_specs(cfg: ChildConfig, prims: tuple[str, ...], where_value=None) -> list[FeatureSpec]:
-    wc = cfg.where_column if where_value is not None else None
+def _child_specs(cfg: ChildConfig, prims: tuple[str, ...], where_value=None, each: bool = False,
+                 by_column: bool = False) -> list[FeatureSpec]:
+    """``each``: conditional on every value; ``by_column``: the condition's column is in the name."""
+    wc = cfg.where_column if where_value is not None or each else None
+    token = "each" if each else f"{wc}_{where_value}" if by_column else where_value
+    token = f"{wc}_each" if each and by_column else token
     out = []
+
+    def add(p: str, column: str | None = None, categorical: bool = False) -> None:
+        out.append(FeatureSpec(feature_name(cfg.table, p, column, wc, token), cfg.table, p, column, wc,
+                               where_value, categorical, cfg.n_most_common))
+
     for p in prims:
         if p not in PRIMITIVES and p not in TWO_PHASE:
             raise ValueError(f"unknown primitive {p!r}")
-        if p in TWO_PHASE and wc is not None:
-            continue  # distribution primitives are not conditioned per concept
         if p in TABLE_LEVEL:
-            out.append(FeatureSpec(feature_name(cfg.table, p, None, wc, where_value), cfg.table, p,
-                                   None, wc, where_value))
+            add(p)
             continue
         for c in cfg.value_columns:
-            out.append(FeatureSpec(feature_name(cfg.table, p, c, wc, where_value), cfg.table, p, c,
-                                   wc, where_value))
+            add(p, c)
         if p in VALUE_ANY_TYPE:
             for c in cfg.categorical_columns:
                 if wc is not None and c == wc:
                     continue  # constant inside its own condition
-                out.append(FeatureSpec(feature_name(cfg.table, p, c, wc, where_value), cfg.table, p,
-                                       c, wc, where_value, categorical=True))
+                add(p, c, True)
     return out
 
 
 def plan_features(es: EntitySet, config: FeatureConfig,
-                  vocab: dict[str, list] | None = None) -> list[FeatureSpec]:
+                  vocab: dict[str, list] | None = None, layout: str = "wide") -> list[FeatureSpec]:
     """Expand the config into feature definitions (no feature is computed).
 
-    Conditional features need the concept vocabulary: it is taken from
+    Conditional features of the wide layout need the concept vocabulary: it is taken from
     ``where_values`` or ``vocab`` if given, else from one distinct job per
-    child table.
+    child table and column.  The other layouts need none: one definition stands for every value.
+    A table may have several ``ChildConfig``s.
     """
     specs: list[FeatureSpec] = []
     present = {n: set(df.columns) for n, df in es.tables.items()}
@@ -152,13 +159,15 @@ def plan_features(es: EntitySet, config: FeatureConfig,
     if config.age_column and config.age_column in tcols:
         specs.append(FeatureSpec(f"age__{config.age_column}", config.target, "age", config.age_column))
     vocab = dict(vocab or {})
-    wanted = [c for c in config.children if c.table in present and c.where_column
-              and c.where_primitives and c.where_values is None and c.table not in vocab]
+    wanted = list(dict.fromkeys(
+        (c.table, c.where_column) for c in config.children if c.table in present and c.where_column
+        and c.where_primitives and c.where_values is None and c.table not in vocab)) if layout == "wide" else []
+    found = {}
     if wanted:
-        # one distinct job per child table, submitted together
+        # one distinct job per child table and column, submitted together
         with ThreadPoolExecutor(max_workers=min(4, len(wanted))) as pool:
-            found = pool.map(lambda c: distinct_values(es[c.table], c.where_column), wanted)
-            vocab.update({c.table: v for c, v in zip(wanted, found)})
+            found = dict(zip(wanted, pool.map(lambda x: distinct_values(es[x[0]], x[1]), wanted)))
+    first_column: dict[str, str] = {}
     for child in config.children:
         if child.table not in present:
             continue
@@ -167,10 +176,16 @@ def plan_features(es: EntitySet, config: FeatureConfig,
                         categorical_columns=tuple(c for c in child.categorical_columns if c in have))
         specs += _child_specs(child, child.primitives)
         if child.where_column and child.where_primitives:
-            values = child.where_values if child.where_values is not None else vocab[child.table]
-            for v in values:
-                specs += _child_specs(child, child.where_primitives, v)
-    return specs
+            values = child.where_values
+            if values is None:
+                values = vocab.get(child.table, found.get((child.table, child.where_column)))
+            # a further condition column of a table is named, so that equal values don't clash
+            by_column = first_column.setdefault(child.table, child.where_column) != child.where_column
+            if values is None:
+                specs += _child_specs(child, child.where_primitives, each=True, by_column=by_column)
+            for v in values or ():
+                specs += _child_specs(child, child.where_primitives, v, by_column=by_column)
+    return list(dict.fromkeys(specs))
 
 
 # ---- S7/S8: definitions to and from JSON ----------------------------------
@@ -217,6 +232,28 @@ def _long_stat_name(d: FeatureSpec) -> str:
     return feature_name(d.table, d.primitive, d.column)
 
 
+def _wanted(wc: str, cond: list[FeatureSpec]):
+    """The codes that the conditional features are about."""
+    values = {d.where_value for d in cond}
+    return F.col(wc).isNotNull() if None in values else F.col(wc).isin(sorted(values))
+
+
+def _distribution(rows: DataFrame, group: list[str], d: FeatureSpec, out: str) -> DataFrame:
+    """A distribution primitive per group: ``out``, or ``out__0``, ``out__1``, ... of n_most_common."""
+    if d.primitive == "entropy":
+        return entropy(rows, group, d.column, out=out)
+    if d.primitive == "median":
+        return grouped_median(rows, group, d.column, out=out)
+    if d.primitive == "mode":
+        return grouped_mode(rows, group, d.column, out=out)
+    top = n_most_common(rows, group, d.column, n=d.n, out="__top")
+    return top.select(*group, *[F.get(F.col("__top"), i).alias(f"{out}__{i}") for i in range(d.n)])
+
+
+def _columns(d: FeatureSpec, name: str) -> list[str]:
+    return [f"{name}__{i}" for i in range(d.n)] if d.primitive == "n_most_common" else [name]
+
+
 def _as_text(v) -> str:
     """A code value as Spark renders it when cast to string."""
     if isinstance(v, bool):
@@ -242,18 +279,18 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
         if n not in cond_stats:
             cond_stats.append(n)
         stats.setdefault(n, replace(d, name=n, where_column=None, where_value=None))
-    values = sorted({d.where_value for d in cond}, key=lambda v: (v is None, v))
     agg = (rows.groupingSets([group, group + [wc]], *group, wc)
            .agg(*_agg_columns(list(stats.values()), spec, cut), F.grouping_id().alias("__gid")))
     is_all = F.col("__gid") == 1
     if layout == "map":
         entry = F.struct(F.col(wc).alias("key"),
                          F.struct(*[F.col(s) for s in cond_stats]).alias("value"))
-        entries = F.collect_list(F.when(~is_all & F.col(wc).isin(values), entry))
+        entries = F.collect_list(F.when(~is_all & _wanted(wc, cond), entry))
         # no coded rows -> null (as for persons the long form has no row for)
         aggs = [F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias(map_col)]
         aggs += [F.first(F.when(is_all, F.col(d.name)), ignorenulls=True).alias(d.name) for d in plain]
         return agg.groupBy(*group).agg(*aggs)
+    values = sorted({d.where_value for d in cond})
     texts = [_as_text(v) for v in values]
     everyone = "__all_rows__"
     while everyone in texts:
@@ -289,7 +326,9 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     if layout not in ("wide", "map", "long"):
         raise ValueError(layout)
     if defs is None:
-        defs = plan_features(es, config)
+        defs = plan_features(es, config, layout=layout)
+    if layout == "wide" and any(d.where_column is not None and d.where_value is None for d in defs):
+        raise ValueError("the definitions are for every value; the wide layout needs the values")
     tspec = es.spec(config.target)
     key = tspec.key
     per_person = is_per_person(cutoff)
@@ -311,8 +350,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     base = target.select(*tcols)
 
     parts, defaults, longs = [], {}, {}
-    children = {c.table: c for c in config.children}
-    for table, child in children.items():
+    for table in dict.fromkeys(c.table for c in config.children):
         cdefs = [d for d in defs if d.table == table]
         if not cdefs:
             continue
@@ -324,66 +362,68 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
 
         two = [d for d in cdefs if d.where_column is None and d.primitive in TWO_PHASE]
         for d in two:
-            if d.primitive == "entropy":
-                part = entropy(rows, group, d.column, out=d.name)
-            elif d.primitive == "median":
-                part = grouped_median(rows, group, d.column, out=d.name)
-            elif d.primitive == "mode":
-                part = grouped_mode(rows, group, d.column, out=d.name)
-            else:
-                top = n_most_common(rows, group, d.column, n=N_MOST_COMMON, out="__top")
-                part = top.select(*group, *[F.get(F.col("__top"), i).alias(f"{d.name}__{i}")
-                                            for i in range(N_MOST_COMMON)])
+            part = _distribution(rows, group, d, d.name)
             if per_person:
                 part = part.drop(CUTOFF_COL)
             parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
 
         plain = [d for d in cdefs if d.where_column is None and d.primitive not in TWO_PHASE]
-        cond = [d for d in cdefs if d.where_column is not None]
-        wc = child.where_column
-        for d in plain + (cond if layout == "wide" else []):
-            if default_for(d.primitive) is not None:
+        every = [d for d in cdefs if d.where_column is not None]
+        for d in plain + (every if layout == "wide" else []):
+            if d.primitive not in TWO_PHASE and default_for(d.primitive) is not None:
                 defaults[d.name] = default_for(d.primitive)
 
-        ordered = any(d.primitive in ORDERED for d in plain + cond)
-        if cond and layout in ("wide", "map") and not ordered:
-            # one scan of the child for both the per-person and the per-code
-            # statistics (grouping sets), folded per person in one more step
-            part = _single_scan(rows, group, wc, plain, cond, spec, cut, layout,
-                                f"{table}__where_{wc}")
-            if per_person:
-                part = part.drop(CUTOFF_COL)
-            parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
-            continue
-
-        # ordered primitives (last/first) need sort-based aggregation; there
-        # two separate aggregations beat one over grouping-set-expanded rows
-        if plain:
-            agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
-            if per_person:
-                agg = agg.drop(CUTOFF_COL)
-            parts.append(agg.withColumnRenamed(pk, key) if pk != key else agg)
-        if cond:
-            # one statistic per (primitive, column); codes become rows
-            stat_defs = {}
-            for d in cond:
-                stat_defs.setdefault(_long_stat_name(d), replace(d, name=_long_stat_name(d),
-                                                                 where_column=None, where_value=None))
-            long = conditional_long(rows, group, wc, _agg_columns(list(stat_defs.values()), spec, cut))
-            if per_person:
-                long = long.drop(CUTOFF_COL)
-            if pk != key:
-                long = long.withColumnRenamed(pk, key)
-            values = sorted({d.where_value for d in cond}, key=lambda v: (v is None, v))
-            if layout == "wide":
-                templates = {st: st + "__where_{value}" for st in stat_defs}
-                wide = long_to_wide(long.where(F.col(wc).isin(values)), [key], wc, values, templates)
-                parts.append(wide.select(key, *[d.name for d in cond]))
-            elif layout == "map":
-                parts.append(long_to_map(long.where(F.col(wc).isin(values)), [key], wc,
-                                         list(stat_defs), map_col=f"{table}__where_{wc}"))
-            else:
-                longs[table] = long
+        where_columns = list(dict.fromkeys(d.where_column for d in every))
+        for wc in where_columns or [None]:
+            cond = [d for d in every if d.where_column == wc]
+            ordered = any(d.primitive in ORDERED | TWO_PHASE for d in plain + cond)
+            if cond and layout in ("wide", "map") and not ordered:
+                # one scan of the child for both the per-person and the per-code
+                # statistics (grouping sets), folded per person in one more step
+                part = _single_scan(rows, group, wc, plain, cond, spec, cut, layout,
+                                    f"{table}__where_{wc}")
+                if per_person:
+                    part = part.drop(CUTOFF_COL)
+                parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
+                plain = []
+                continue
+
+            # ordered primitives (last/first) need sort-based aggregation; there
+            # two separate aggregations beat one over grouping-set-expanded rows
+            if plain:
+                agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
+                if per_person:
+                    agg = agg.drop(CUTOFF_COL)
+                parts.append(agg.withColumnRenamed(pk, key) if pk != key else agg)
+                plain = []
+            if cond:
+                # one statistic per (primitive, column); codes become rows
+                stat_defs = {}
+                for d in cond:
+                    stat_defs.setdefault(_long_stat_name(d), replace(d, name=_long_stat_name(d),
+                                                                     where_column=None, where_value=None))
+                coded = rows.where(_wanted(wc, cond))
+                single = [d for d in stat_defs.values() if d.primitive not in TWO_PHASE]
+                long = (conditional_long(coded, group, wc, _agg_columns(single, spec, cut)) if single
+                        else coded.select(*group, wc).distinct())
+                for d in stat_defs.values():
+                    if d.primitive in TWO_PHASE:
+                        long = long.join(_distribution(coded, [*group, wc], d, d.name), [*group, wc], "left")
+                if per_person:
+                    long = long.drop(CUTOFF_COL)
+                if pk != key:
+                    long = long.withColumnRenamed(pk, key)
+                if layout == "wide":
+                    cells = [(d.where_value, src, out) for d in sorted(cond, key=lambda d: d.where_value)
+                             for src, out in zip(_columns(d, _long_stat_name(d)), _columns(d, d.name))]
+                    wide = pivot_rows(long, [key], wc, cells)
+                    parts.append(wide.select(key, *[c for d in cond for c in _columns(d, d.name)]))
+                elif layout == "map":
+                    parts.append(long_to_map(long, [key], wc,
+                                             [c for n, d in stat_defs.items() for c in _columns(d, n)],
+                                             map_col=f"{table}__where_{wc}"))
+                else:
+                    longs[table if len(where_columns) == 1 else f"{table}__where_{wc}"] = long
 
     matrix = assemble(base, key, parts, defaults)
     cats = {}
@@ -418,7 +458,7 @@ def gen_feature_matrix(es: EntitySet, cutoff, features_only: bool = False,
         defs, saved_config = load_defs(spark, saved_features)
         config = saved_config or config
     else:
-        defs = plan_features(es, config)
+        defs = plan_features(es, config, layout=layout)
         if features_only:
             return defs
     res = feature_matrix(es, config, cutoff, defs=defs, layout=layout,

@@ -367,3 +367,52 @@ def test_pivot_partial_grid_keeps_names(spark, monkeypatch):
     assert big.columns == ["p", "xa", "yb", "ya"]
     assert sorted(big.select(*small[0].__fields__).collect()) == small
     assert small[0].asDict() == {"p": 1, "xa": 1.0, "yb": 6, "ya": 5}
+
+
+def codes(spark, es_dict, children, layout, **kw):
+    es, _ = es_dict
+    return feature_matrix(es, FeatureConfig("person", tuple(children)), CUTOFF, layout=layout, label=False, **kw)
+
+
+def test_distribution_primitives_per_code_in_all_layouts(spark, es_dict):
+    m, v, c = "measurement", "value_as_number", "measurement_concept_id"
+    prims = ("median", "mode", "entropy", "n_most_common", "count")
+    child = ChildConfig(m, (), (v,), (), c, prims, n_most_common=2)
+    es, _ = es_dict
+    wide = codes(spark, es_dict, [child], "wide")
+    got = rows_by_person(wide.matrix)
+    long = codes(spark, es_dict, [child], "long").long[m].collect()
+    maps = rows_by_person(codes(spark, es_dict, [child], "map").matrix)
+    assert long and {d.primitive for d in wide.defs} == set(prims)
+    names = [f"{m}__median__{v}", f"{m}__mode__{v}", f"{m}__entropy__{v}"]
+    for r in long:
+        for n in names:
+            assert close(got[r.person_id][f"{n}__where_{r[c]}"], r[n])
+            assert close(maps[r.person_id][f"{m}__where_{c}"][r[c]][n], r[n])
+        for i in range(2):
+            assert got[r.person_id][f"{m}__n_most_common__{v}__where_{r[c]}__{i}"] == r[f"{m}__n_most_common__{v}__{i}"]
+    # only the one code that is asked for, in the long layout too
+    one = long[0][c]
+    part = codes(spark, es_dict, [ChildConfig(m, (), (v,), (), c, ("max", "median"), (one,))], "long").long[m].collect()
+    assert {r[c] for r in part} == {one}
+
+
+def test_two_condition_columns_of_a_table(spark, es_dict):
+    m, v, c = "measurement", "value_as_number", "measurement_concept_id"
+    a, b = ChildConfig(m, ("max",), (v,), (), c, ("count",)), ChildConfig(m, ("min",), (v,), (), v, ("count",))
+    both = rows_by_person(codes(spark, es_dict, [a, b], "map").matrix)
+    for child, wc, n in ((a, c, "max"), (b, v, "min")):
+        for k, r in rows_by_person(codes(spark, es_dict, [child], "map").matrix).items():
+            assert both[k][f"{m}__where_{wc}"] == r[f"{m}__where_{wc}"] and both[k][f"{m}__{n}__{v}"] == r[f"{m}__{n}__{v}"]
+    wide = codes(spark, es_dict, [a, b], "wide")
+    assert len({d.name for d in wide.defs}) == len(wide.defs) and set(d.name for d in wide.defs) <= set(wide.matrix.columns)
+
+
+def test_long_and_map_take_any_number_of_codes(spark, es_dict, monkeypatch):
+    from cohortlens.operators import grouping
+    monkeypatch.setattr(grouping.distinct_values, "__defaults__", (1,))
+    child = ChildConfig("measurement", (), ("value_as_number",), (), "measurement_concept_id", ("max",))
+    with pytest.raises(ValueError):
+        codes(spark, es_dict, [child], "wide")
+    assert len({r.measurement_concept_id for r in codes(spark, es_dict, [child], "long").long["measurement"].collect()}) > 1
+    assert any(len(x or ()) for x, in codes(spark, es_dict, [child], "map").matrix.select("measurement__where_measurement_concept_id").collect())
