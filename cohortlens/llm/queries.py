@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, jaccard_join, langid, packing, quality, sharding, suffix_lm, token_rollup, url_cascade
+from . import (byte_bpe, fingerprints, jaccard_join, langid, packing, periodic_runs, quality, sharding, spelling, suffix_lm, token_rollup, url_cascade,
+               warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +67,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and what is left when they are collapsed."""
+    return periodic_runs.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling.grouped(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_fingerprints, op2_quality_rules, op3_token_counts, op4_packing, op5_url_filter, op6_lm_scoring,
-                            op7_ngram_jaccard, op8_byte_bpe, op9_sharding, op10_language_id)}
+                            op7_ngram_jaccard, op8_byte_bpe, op9_sharding, op10_language_id, op11_periodic_runs, op12_spelling_variants, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
