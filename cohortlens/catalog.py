@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import standins as SI
 from .functions.scaling import affine_with_overrides, age_years, minmax_scale, recode_text
 from .operators.clean import drop_all_null_columns
+from .operators.contacts import contact_sessions
 from .operators.encode import one_hot
 from .operators.grouping import entropy, n_most_common
 from .operators.joins import lookup_join
 from .operators.keys import duplicate_keys, generate_key, orphan_links, with_bucket
+from .operators.riskfilter import build_filter, filter_bits, probe_filter
+from .operators.sparse import from_sparse
 from .plans.explorer import patient_info, patient_measurements, patient_timeline
 from .plans.features import ChildConfig, FeatureConfig, feature_matrix, plan_features
 from .session import scratch_path
@@ -161,6 +164,88 @@ def q_x_entropy(spark, sf_dir):
     return rounded(entropy(ev, ["user_id"], "event_type"))
 
 
+# ---------------------------------------------------------------------------
+# Several cutoffs a person, and conditional features beyond a column per code
+# ---------------------------------------------------------------------------
+
+MANY_CUTOFFS = _cfg(ChildConfig("events", ("count", "sum", "max", "min", "std", "last", "time_since_last", "time_since_first",
+                                           "avg_time_between"), ("value",)), identity=("c_mktsegment",))
+MANY_CODES = _cfg(ChildConfig("shipments", (), ("l_quantity",), (), "l_orderkey", ("count", "mean", "max")))
+TWO_COLUMNS = _cfg(ChildConfig("events_levelled", (), ("value",), (), "event_type", ("mean", "max")),
+                   ChildConfig("events_levelled", (), ("value",), (), "level", ("count", "min")))
+DISTRIBUTION = _cfg(ChildConfig("events_coded", (), ("value",), ("code",), "event_type", ("median", "mode", "entropy", "num_unique")))
+
+
+def q_cutoff_many_per_person(spark, sf_dir):
+    """Two cutoffs a customer, by its key; the events are read once."""
+    days = F.array(F.lit(9) + F.pmod("c_custkey", F.lit(5)), F.lit(19) + F.pmod("c_custkey", F.lit(3)))
+    cutoffs = SI.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("person_id"), F.explode(days).alias("d"))
+    cutoffs = cutoffs.select("person_id", F.expr("timestampadd(DAY, cast(d AS int), TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("cutoff_time"))
+    return rounded(feature_matrix(SI.customer_set(spark, sf_dir), MANY_CUTOFFS, cutoffs, many_cutoffs=True).matrix)
+
+
+def q_agg_where_many_codes(spark, sf_dir):
+    """Features per order key: at sf0.01 15,000 codes, as sparse vectors, unpacked."""
+    es = SI.customer_set(spark, sf_dir, with_shipments=True)
+    res = feature_matrix(es, MANY_CODES, SI.ORDERS_CUTOFF, layout="sparse")
+    return rounded(from_sparse(res.matrix, ["c_custkey"], "shipments__where_l_orderkey", res.dictionaries["shipments__where_l_orderkey"]))
+
+
+def q_agg_where_map(spark, sf_dir):
+    """The map layout, unpacked."""
+    m = feature_matrix(SI.customer_set(spark, sf_dir), WHERE, SI.EVENTS_CUTOFF, layout="map").matrix
+    return rounded(m.select("c_custkey", F.explode("events__where_event_type").alias("event_type", "v")).select("c_custkey", "event_type", "v.*"))
+
+
+def q_agg_where_two_columns(spark, sf_dir):
+    """Two condition columns of one table, each with its own primitives."""
+    es = SI.customer_set(spark, sf_dir)
+    es = es.with_table("events_levelled", es["events"].withColumn("level", F.when(F.col("value") > 100.0, "high").otherwise("low")), SI.EVENTS_SPEC)
+    m = feature_matrix(es, TWO_COLUMNS, SI.EVENTS_CUTOFF, layout="map").matrix
+    stats = {"event_type": {"mean": "events_levelled__mean__value", "max": "events_levelled__max__value"},
+             "level": {"n": "events_levelled__count", "min": "events_levelled__min__value"}}
+    frames = [m.select("c_custkey", F.explode(f"events_levelled__where_{c}").alias("code", "v")).select(
+        "c_custkey", F.concat(F.lit(f"{c}="), "code").alias("code"),
+        *[(F.col(f"v.{names[a]}") if a in names else F.lit(None)).cast("double").alias(a) for a in ("mean", "max", "n", "min")])
+        for c, names in stats.items()]
+    return rounded(frames[0].unionByName(frames[1]))
+
+
+def q_agg_where_distribution(spark, sf_dir):
+    """Distribution primitives per code."""
+    es = SI.customer_set(spark, sf_dir)
+    es = es.with_table("events_coded", es["events"].withColumn("code", SI.event_code()), SI.EVENTS_SPEC)
+    return rounded(feature_matrix(es, DISTRIBUTION, SI.EVENTS_CUTOFF, layout="long").long["events_coded"])
+
+
+# ---------------------------------------------------------------------------
+# Contacts and the at-risk filter
+# ---------------------------------------------------------------------------
+
+CONTACT_NEAR, CONTACT_GAP = 12 * 3600, 48 * 3600  # the test events are hours apart
+CONTACT_SIGNAL = 5.0
+RISK_SALT = "study-1:"
+RISK_VALUE = 150.0  # a user with an error event above it is a reporter
+
+
+def q_contact_sessions(spark, sf_dir):
+    """Users seen at one place (the code of an event's properties) within CONTACT_NEAR seconds."""
+    seen = SI.read(spark, sf_dir, "events").withColumn("place", SI.event_code())
+    return contact_sessions(seen, "user_id", "place", "ts", CONTACT_NEAR, CONTACT_GAP, signal="value", least_signal=CONTACT_SIGNAL)
+
+
+def q_at_risk_probe(spark, sf_dir):
+    """Every visit (place and hour) probed against the filter of the reporters' visits, beside the exact answer."""
+    visits = SI.read(spark, sf_dir, "events").select("user_id", "event_type", "value", F.concat_ws(
+        "@", SI.event_code().cast("string"), F.date_format("ts", "yyyy-MM-dd HH")).alias("visit"))
+    reporters = visits.where((F.col("event_type") == "error") & (F.col("value") > RISK_VALUE)).select("user_id").distinct()
+    reports = visits.join(reporters, "user_id", "left_semi").select("visit").distinct()
+    n_bits = filter_bits(reports.count())
+    probed = probe_filter(visits, "visit", build_filter(reports, "visit", n_bits, RISK_SALT), n_bits, RISK_SALT)
+    return probed.join(reports.withColumn("reported", F.lit(True)), "visit", "left").select(
+        "visit", "flagged", F.coalesce("reported", F.lit(False)).alias("reported"))
+
+
 # ---------------------------------------------------------------------------
 # Row-level transforms
 # ---------------------------------------------------------------------------
@@ -385,6 +470,13 @@ QUERIES = {
     "parquet_round_trip": q_parquet_round_trip,
     "feature_defs_round_trip": q_feature_defs_round_trip,
     "matrix_csv": q_matrix_csv,
+    "cutoff_many_per_person": q_cutoff_many_per_person,
+    "agg_where_many_codes": q_agg_where_many_codes,
+    "agg_where_map": q_agg_where_map,
+    "agg_where_two_columns": q_agg_where_two_columns,
+    "agg_where_distribution": q_agg_where_distribution,
+    "contact_sessions": q_contact_sessions,
+    "at_risk_probe": q_at_risk_probe,
     "x_extra": q_x_extra,
     "x_trend": q_x_trend,
     "x_boolean": q_x_boolean,

@@ -59,9 +59,12 @@ def long_to_map(long: DataFrame, keys: list[str], concept: str, stats: list[str]
 
 
 def safe_token(value) -> str:
-    """SQL-safe token for a concept value in a column name."""
-    s = re.sub(r"[^0-9A-Za-z_]+", "_", str(value)).strip("_")
-    return s if s else "blank"
+    """SQL-safe token for a concept value in a column name; different texts give different tokens.
+
+    Letters, digits and underscores stay; any other character becomes its code point, ``_x2D_``
+    for a minus sign.  What looks like such a code already has its first underscore written so."""
+    text = re.sub(r"_(?=x[0-9A-F]+_)", "_x5F_", str(value))
+    return re.sub(r"[^0-9A-Za-z_]", lambda m: f"_x{ord(m[0]):X}_", text) or "_x_"
 
 
 # Up to this many output cells per person a pivot is written as conditional
@@ -71,6 +74,13 @@ def safe_token(value) -> str:
 MANUAL_PIVOT_CELLS = 256
 
 
+def value_place(df: DataFrame, column: str, values: list) -> Column:
+    """Place of a column's value in a list, from 1; null where it is not there.  Compared as the column's type, so
+    no value depends on how it is written."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.nullif(F.array_position(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col(column)), F.lit(0).cast("long"))
+
+
 def pivot_rows(df: DataFrame, keys: list[str], pivot_col: str,
                cells: list[tuple[object, str, str]]) -> DataFrame:
     """Spread rows with one row per (keys, pivot value) into columns.
@@ -85,9 +95,11 @@ def pivot_rows(df: DataFrame, keys: list[str], pivot_col: str,
             for v, src, out in cells])
     values = list(dict.fromkeys(v for v, _, _ in cells))
     stats = list(dict.fromkeys(src for _, src, _ in cells))
-    pivoted = (df.groupBy(*keys).pivot(pivot_col, values)
+    placed = df.withColumn("__place", value_place(df, pivot_col, values))
+    pivoted = (placed.groupBy(*keys).pivot("__place", list(range(1, len(values) + 1)))
                .agg(*[F.first(F.col(st)).alias(st) for st in stats]))
-    names = [f"{v}_{src}" if len(stats) > 1 else f"{v}" for v, src, _ in cells]
+    place = {v: i for i, v in enumerate(values, 1)}
+    names = [f"{place[v]}_{src}" if len(stats) > 1 else f"{place[v]}" for v, src, _ in cells]
     if pivoted.columns == list(keys) + names:
         # the cells are the full value-major grid, in Spark's output order:
         # rename in one step (one driver call per column less than a select)

@@ -53,7 +53,7 @@ def attach_status(person: DataFrame, label: DataFrame, key: str) -> DataFrame:
     return person.join(label, key, "left")
 
 
-def assemble(target: DataFrame, key: str, parts: list[DataFrame],
+def assemble(target: DataFrame, key: str | list[str], parts: list[DataFrame],
              defaults: dict[str, object] | None = None) -> DataFrame:
     """Left-join per-child aggregates (one row per person each) onto the target.
 

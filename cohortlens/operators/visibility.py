@@ -37,7 +37,7 @@ def cutoff_is_small(cutoff: DataFrame, max_rows: int = MAX_CUTOFF_BROADCAST_ROWS
 def attach_cutoff(df: DataFrame, cutoff, person_key: str,
                   cutoff_key: str = "person_id", cutoff_time: str = "cutoff_time",
                   small: bool | None = None, row_key: str | None = None,
-                  salts: int = CUTOFF_SALTS) -> tuple[DataFrame, Column]:
+                  salts: int = CUTOFF_SALTS, cast: str | None = "timestamp_ntz") -> tuple[DataFrame, Column]:
     """Return ``(df, cutoff column)``.
 
     A per-person cutoff table (one row per person) is inner-joined on the
@@ -50,8 +50,8 @@ def attach_cutoff(df: DataFrame, cutoff, person_key: str,
     then shuffles partial aggregates only.
     """
     if is_per_person(cutoff):
-        c = cutoff.select(F.col(cutoff_key).alias(person_key),
-                          F.col(cutoff_time).cast("timestamp_ntz").alias(CUTOFF_COL))
+        time = F.col(cutoff_time).cast(cast) if cast else F.col(cutoff_time)
+        c = cutoff.select(F.col(cutoff_key).alias(person_key), time.alias(CUTOFF_COL))
         if small is None:
             small = cutoff_is_small(c)
         if small:

@@ -372,6 +372,80 @@ def labelled_sql() -> str:
             "FROM documents d RIGHT JOIN labels l ON l.doc_id = d.doc_id")
 
 
+EVENT_CODE = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def many_cutoffs_sql() -> str:
+    days = "CAST(unnest([9 + c_custkey % 5, 19 + c_custkey % 3]) AS INTEGER)"
+    seen = "events e JOIN g ON e.user_id = g.k AND e.ts <= g.cutoff_time"
+    return (
+        f"WITH d AS (SELECT c_custkey AS k, c_mktsegment, {days} AS d FROM customer), "
+        "g AS (SELECT k, c_mktsegment, TIMESTAMP '2024-01-01 00:00:00' + to_days(d) AS cutoff_time FROM d), "
+        "a AS (SELECT g.k, g.cutoff_time, count(*) AS n, sum(value) AS total, max(value) AS hi, min(value) AS lo, stddev_samp(value) AS sd, "
+        f"arg_max(value, ts) AS last, {secs('max(ts)', 'g.cutoff_time')} AS since_last, {secs('min(ts)', 'g.cutoff_time')} AS since_first, "
+        f"{agg_expr('avg_time_between', None, 'ts', '')} AS gap FROM {seen} GROUP BY g.k, g.cutoff_time) "
+        "SELECT g.k AS c_custkey, g.cutoff_time, g.c_mktsegment, coalesce(a.n, 0) AS events__count, "
+        f"{r('a.total')} AS events__sum__value, {r('a.hi')} AS events__max__value, {r('a.lo')} AS events__min__value, {r('a.sd')} AS events__std__value, "
+        f"{r('a.last')} AS events__last__value, {r('a.since_last')} AS events__time_since_last, {r('a.since_first')} AS events__time_since_first, "
+        f"{r('a.gap')} AS events__avg_time_between FROM g LEFT JOIN a ON a.k = g.k AND a.cutoff_time = g.cutoff_time")
+
+
+def many_codes_sql() -> str:
+    stats = [("shipments__count", "CAST(count(*) AS DOUBLE)"), ("shipments__mean__l_quantity", "avg(q)"), ("shipments__max__l_quantity", "max(q)")]
+    rows = ("SELECT o_custkey, l_orderkey, CASE WHEN l_shipdate <= " + ORDERS_CUTOFF + " THEN l_quantity END AS q FROM lineitem JOIN orders "
+            f"ON l_orderkey = o_orderkey WHERE o_orderdate <= {ORDERS_CUTOFF} AND o_custkey IN (SELECT c_custkey FROM customer)")
+    one = [f"SELECT o_custkey AS c_custkey, l_orderkey AS code, '{n}' AS statistic, {r(e)} AS value FROM v GROUP BY 1, 2 HAVING {e} IS NOT NULL" for n, e in stats]
+    return f"WITH v AS ({rows}) " + " UNION ALL ".join(one)
+
+
+def two_columns_sql() -> str:
+    rows = f"(SELECT *, CASE WHEN value > 100.0 THEN 'high' ELSE 'low' END AS level FROM events WHERE ts <= {EVENTS_CUTOFF} AND user_id IN (SELECT c_custkey FROM customer))"
+    return (f"SELECT user_id AS c_custkey, 'event_type=' || event_type AS code, {r('avg(value)')} AS mean, {r('max(value)')} AS max, CAST(NULL AS DOUBLE) AS n, "
+            f"CAST(NULL AS DOUBLE) AS min FROM {rows} WHERE event_type IS NOT NULL GROUP BY user_id, event_type UNION ALL "
+            f"SELECT user_id, 'level=' || level, NULL, NULL, CAST(count(*) AS DOUBLE), {r('min(value)')} FROM {rows} GROUP BY user_id, level")
+
+
+def distribution_sql() -> str:
+    base = f"(SELECT *, {EVENT_CODE} AS code FROM events WHERE ts <= {EVENTS_CUTOFF} AND event_type IS NOT NULL)"
+
+    def mode(c: str) -> str:
+        return (f"SELECT user_id, event_type, v AS m FROM (SELECT user_id, event_type, {c} AS v, row_number() OVER (PARTITION BY user_id, event_type "
+                f"ORDER BY count(*) DESC, {c}) AS rn FROM {base} WHERE {c} IS NOT NULL GROUP BY user_id, event_type, {c}) WHERE rn = 1")
+
+    def entropy(c: str) -> str:
+        return (f"SELECT user_id, event_type, -sum(p * ln(p)) AS h FROM (SELECT user_id, event_type, count(*) / sum(count(*)) OVER (PARTITION BY user_id, "
+                f"event_type) AS p FROM {base} GROUP BY user_id, event_type, {c}) GROUP BY user_id, event_type")
+
+    p = "events_coded__"
+    joins = " ".join(f"LEFT JOIN ({q}) {n} ON {n}.user_id = a.user_id AND {n}.event_type = a.event_type"
+                     for n, q in (("mv", mode("value")), ("mc", mode("code")), ("hv", entropy("value")), ("hc", entropy("code"))))
+    return (f"SELECT a.user_id AS c_custkey, a.event_type, {r('a.med')} AS {p}median__value, {r('mv.m')} AS {p}mode__value, mc.m AS {p}mode__code, "
+            f"{r('hv.h')} AS {p}entropy__value, {r('hc.h')} AS {p}entropy__code, a.nv AS {p}num_unique__value, a.nc AS {p}num_unique__code FROM "
+            f"(SELECT user_id, event_type, median(value) AS med, count(DISTINCT value) AS nv, count(DISTINCT code) AS nc FROM {base} GROUP BY user_id, event_type) a {joins}")
+
+
+def contacts_sql(near: int = 12 * 3600, gap: int = 48 * 3600, least: int = 900, signal: float = 5.0) -> str:
+    return (
+        f"WITH s AS (SELECT user_id AS p, {EVENT_CODE} AS place, epoch_us(ts) AS us FROM events WHERE value >= {signal}), "
+        "m AS (SELECT least(x.p, y.p) AS a, greatest(x.p, y.p) AS b, x.us AS earlier, y.us AS later FROM s x JOIN s y ON x.place = y.place AND x.p <> y.p "
+        f"AND y.us >= x.us AND y.us <= x.us + {near * 1_000_000} AND (x.us < y.us OR x.p < y.p)), "
+        f"o AS (SELECT *, CASE WHEN later - lag(later) OVER (PARTITION BY a, b ORDER BY later) >= {gap * 1_000_000} THEN 1 ELSE 0 END AS begins FROM m), "
+        "n AS (SELECT *, sum(begins) OVER (PARTITION BY a, b ORDER BY later ROWS UNBOUNDED PRECEDING) AS session FROM o) "
+        "SELECT a, b, make_timestamp(min(earlier)) AS started, make_timestamp(max(later)) AS ended, (max(later) - min(earlier)) / 1e6 AS seconds, "
+        f"count(*) AS moments FROM n GROUP BY a, b, session HAVING max(later) - min(earlier) > {least * 1_000_000}")
+
+
+def risk_sql(salt: str = "study-1:", hashes: int = 4, bits: int = 10, value: float = 150.0) -> str:
+    return (
+        f"WITH v AS (SELECT user_id, event_type, value, CAST({EVENT_CODE} AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d %H') AS visit FROM events), "
+        f"r AS (SELECT DISTINCT visit FROM v WHERE user_id IN (SELECT user_id FROM v WHERE event_type = 'error' AND value > {value})), "
+        f"f AS (SELECT CAST(greatest(1, ceil(count(*) * {bits} / 32768.0)) AS BIGINT) * 32768 AS n FROM r), "
+        "k AS (SELECT DISTINCT visit FROM v WHERE visit IS NOT NULL), "
+        f"p AS (SELECT visit, CAST('0x' || substr(sha256('{salt}' || visit), 1 + 12 * i, 12) AS BIGINT) % (SELECT n FROM f) AS pos FROM k, range({hashes}) t(i)), "
+        "b AS (SELECT DISTINCT pos FROM p WHERE visit IN (SELECT visit FROM r)) "
+        "SELECT visit, bool_and(pos IN (SELECT pos FROM b)) AS flagged, visit IN (SELECT visit FROM r) AS reported FROM p GROUP BY visit")
+
+
 def build() -> dict[str, str]:
     q = {}
     q["agg_basic"] = customer_query([child_sql(EVENTS, EVENTS_CUTOFF, ("mean", "max", "min", "std"),
@@ -438,6 +512,13 @@ def build() -> dict[str, str]:
     q["x_extra"] = customer_query([child_sql(EVENTS, EVENTS_CUTOFF,
                                              ("sum", "median", "mode", "num_unique", "first"),
                                              ("value",), ("event_type",))])
+    q["cutoff_many_per_person"] = many_cutoffs_sql()
+    q["agg_where_many_codes"] = many_codes_sql()
+    q["agg_where_map"] = q["agg_where_long"]
+    q["agg_where_two_columns"] = two_columns_sql()
+    q["agg_where_distribution"] = distribution_sql()
+    q["contact_sessions"] = contacts_sql()
+    q["at_risk_probe"] = risk_sql()
     q["x_trend"] = customer_query([child_sql(EVENTS, EVENTS_CUTOFF, ("trend",), ("value",))])
     q["x_boolean"] = boolean_sql()
     q["x_n_most_common"] = (

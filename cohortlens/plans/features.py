@@ -25,8 +25,10 @@ from ..functions.scaling import age_years
 from ..operators.encode import one_hot
 from ..operators.grouping import (conditional_long, distinct_values, entropy, grouped_median,
                                   grouped_mode, long_to_map, n_most_common,
-                                  pivot_rows, safe_token)
+                                  pivot_rows, safe_token, value_place)
+from ..operators.asof import MERGEABLE, asof_aggregates
 from ..operators.joins import assemble, attach_label
+from ..operators.sparse import feature_dictionary, to_sparse
 from ..operators.visibility import (CUTOFF_COL, attach_cutoff, cutoff_is_small, is_per_person,
                                    visible_rows)
 from ..session import scratch_path
@@ -141,33 +143,39 @@ def _child_specs(cfg: ChildConfig, prims: tuple[str, ...], where_value=None, eac
 
 
 def plan_features(es: EntitySet, config: FeatureConfig,
-                  vocab: dict[str, list] | None = None, layout: str = "wide") -> list[FeatureSpec]:
+                  vocab: dict | None = None, layout: str = "wide") -> list[FeatureSpec]:
     """Expand the config into feature definitions (no feature is computed).
 
     Conditional features of the wide layout need the concept vocabulary: it is taken from
-    ``where_values`` or ``vocab`` if given, else from one distinct job per
-    child table and column.  The other layouts need none: one definition stands for every value.
-    A table may have several ``ChildConfig``s.
+    ``where_values`` or ``vocab`` (keyed by table and column, or by the table alone for its first
+    condition column) if given, else from one distinct job per child table and column.  The other
+    layouts need none: one definition stands for every value.
+    A table may have several ``ChildConfig``s.  Tables and columns that the set does not declare are
+    an error, as are two definitions of one output name; declared columns that the load dropped
+    (all null) give no features, as in the reference.
     """
     specs: list[FeatureSpec] = []
     present = {n: set(df.columns) for n, df in es.tables.items()}
+    _check_names(es, config, present)
     tcols = present.get(config.target, set())
-    # columns dropped at load (all null) give no features, as in the reference
     for c in config.identity_columns:
         if c in tcols:
             specs.append(FeatureSpec(c, config.target, "identity", c, categorical=True))
     if config.age_column and config.age_column in tcols:
         specs.append(FeatureSpec(f"age__{config.age_column}", config.target, "age", config.age_column))
-    vocab = dict(vocab or {})
+    first_column: dict[str, str] = {}
+    for c in config.children:
+        if c.where_column and c.where_primitives:
+            first_column.setdefault(c.table, c.where_column)
+    vocab = {(k, first_column.get(k)) if isinstance(k, str) else tuple(k): v for k, v in (vocab or {}).items()}
     wanted = list(dict.fromkeys(
-        (c.table, c.where_column) for c in config.children if c.table in present and c.where_column
-        and c.where_primitives and c.where_values is None and c.table not in vocab)) if layout == "wide" else []
+        (c.table, c.where_column) for c in config.children if c.table in present and c.where_column in present[c.table]
+        and c.where_primitives and c.where_values is None and (c.table, c.where_column) not in vocab)) if layout == "wide" else []
     found = {}
     if wanted:
         # one distinct job per child table and column, submitted together
         with ThreadPoolExecutor(max_workers=min(4, len(wanted))) as pool:
             found = dict(zip(wanted, pool.map(lambda x: distinct_values(es[x[0]], x[1]), wanted)))
-    first_column: dict[str, str] = {}
     for child in config.children:
         if child.table not in present:
             continue
@@ -175,17 +183,40 @@ def plan_features(es: EntitySet, config: FeatureConfig,
         child = replace(child, value_columns=tuple(c for c in child.value_columns if c in have),
                         categorical_columns=tuple(c for c in child.categorical_columns if c in have))
         specs += _child_specs(child, child.primitives)
-        if child.where_column and child.where_primitives:
+        if child.where_column in have and child.where_primitives:
             values = child.where_values
             if values is None:
-                values = vocab.get(child.table, found.get((child.table, child.where_column)))
+                at = (child.table, child.where_column)
+                values = vocab.get(at, found.get(at))
             # a further condition column of a table is named, so that equal values don't clash
-            by_column = first_column.setdefault(child.table, child.where_column) != child.where_column
+            by_column = first_column[child.table] != child.where_column
             if values is None:
                 specs += _child_specs(child, child.where_primitives, each=True, by_column=by_column)
             for v in values or ():
                 specs += _child_specs(child, child.where_primitives, v, by_column=by_column)
-    return list(dict.fromkeys(specs))
+    specs = list(dict.fromkeys(specs))
+    names: dict[str, FeatureSpec] = {}
+    for d in specs:
+        for name in _columns(d, d.name):
+            other = names.setdefault(name.lower(), d)  # Spark's column names ignore case
+            if other is not d:
+                raise ValueError(f"{other.display} and {d.display} are both named {name}")
+    return specs
+
+
+def _check_names(es: EntitySet, config: FeatureConfig, present: dict[str, set]) -> None:
+    """Refuse tables and columns that the table set neither holds nor declares."""
+    def known(table: str) -> set:
+        return present.get(table, set()) | ({*es.spec(table).column_names(), RECODED} if table in es.specs else set())
+
+    for table in [config.target, *[c.table for c in config.children]]:
+        if table not in present and table not in es.specs:
+            raise ValueError(f"the table set has no table {table!r}")
+    wanted = [(config.target, c) for c in (*config.identity_columns, config.age_column) if c]
+    wanted += [(c.table, x) for c in config.children for x in (*c.value_columns, *c.categorical_columns, c.where_column) if x]
+    for table, column in wanted:
+        if column not in known(table):
+            raise ValueError(f"table {table!r} has no column {column!r}")
 
 
 # ---- S7/S8: definitions to and from JSON ----------------------------------
@@ -217,6 +248,7 @@ class FeatureResult:
     matrix: DataFrame
     defs: list[FeatureSpec]
     long: dict[str, DataFrame] = field(default_factory=dict)
+    dictionaries: dict[str, DataFrame] = field(default_factory=dict)  # of the sparse layout's vector columns
     categories: dict[str, list] = field(default_factory=dict)
 
 
@@ -238,6 +270,22 @@ def _wanted(wc: str, cond: list[FeatureSpec]):
     return F.col(wc).isNotNull() if None in values else F.col(wc).isin(sorted(values))
 
 
+def _wanted_by_stat(wc: str, cond: list[FeatureSpec]) -> dict[str, object]:
+    """Condition per statistic, for those that are not asked for every code of ``cond``."""
+    every = {d.where_value for d in cond}
+    values: dict[str, set] = {}
+    for d in cond:
+        values.setdefault(_long_stat_name(d), set()).add(d.where_value)
+    return {n: F.col(wc).isin(sorted(v)) for n, v in values.items() if None not in v and v != every}
+
+
+def _masked(long: DataFrame, wc: str, cond: list[FeatureSpec]) -> DataFrame:
+    """Statistics that are not asked for a row's code as null."""
+    masks = _wanted_by_stat(wc, cond)
+    stats = {_long_stat_name(d): d for d in cond}
+    return long.withColumns({c: F.when(m, F.col(c)) for n, m in masks.items() for c in _columns(stats[n], n)}) if masks else long
+
+
 def _distribution(rows: DataFrame, group: list[str], d: FeatureSpec, out: str) -> DataFrame:
     """A distribution primitive per group: ``out``, or ``out__0``, ``out__1``, ... of n_most_common."""
     if d.primitive == "entropy":
@@ -254,13 +302,6 @@ def _columns(d: FeatureSpec, name: str) -> list[str]:
     return [f"{name}__{i}" for i in range(d.n)] if d.primitive == "n_most_common" else [name]
 
 
-def _as_text(v) -> str:
-    """A code value as Spark renders it when cast to string."""
-    if isinstance(v, bool):
-        return str(v).lower()
-    return str(v)
-
-
 def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[FeatureSpec],
                  cond: list[FeatureSpec], spec: S.TableSpec, cut, layout: str,
                  map_col: str) -> DataFrame:
@@ -283,6 +324,7 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
            .agg(*_agg_columns(list(stats.values()), spec, cut), F.grouping_id().alias("__gid")))
     is_all = F.col("__gid") == 1
     if layout == "map":
+        agg = _masked(agg, wc, cond)
         entry = F.struct(F.col(wc).alias("key"),
                          F.struct(*[F.col(s) for s in cond_stats]).alias("value"))
         entries = F.collect_list(F.when(~is_all & _wanted(wc, cond), entry))
@@ -290,16 +332,12 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
         aggs = [F.when(F.size(entries) > 0, F.map_from_entries(entries)).alias(map_col)]
         aggs += [F.first(F.when(is_all, F.col(d.name)), ignorenulls=True).alias(d.name) for d in plain]
         return agg.groupBy(*group).agg(*aggs)
+    # the person's own row is place 0, its codes are places in the typed value list
     values = sorted({d.where_value for d in cond})
-    texts = [_as_text(v) for v in values]
-    everyone = "__all_rows__"
-    while everyone in texts:
-        everyone += "_"
-    label = F.when(is_all, F.lit(everyone)).otherwise(F.col(wc).cast("string"))
-    keyed = (agg.where(is_all | F.col(wc).isin(values))
-             .select(*group, label.alias("__pv"), *[F.col(s) for s in stats]))
-    cells = [(everyone, d.name, d.name) for d in plain]
-    cells += [(_as_text(d.where_value), _long_stat_name(d), d.name) for d in cond]
+    place = F.when(is_all, F.lit(0)).otherwise(value_place(agg, wc, values))
+    keyed = agg.select(*group, place.cast("int").alias("__pv"), *[F.col(s) for s in stats]).where("__pv IS NOT NULL")
+    cells = [(0, d.name, d.name) for d in plain]
+    cells += [(1 + values.index(d.where_value), _long_stat_name(d), d.name) for d in cond]
     return pivot_rows(keyed, group, "__pv", cells)
 
 
@@ -314,16 +352,18 @@ def _materialised(df: DataFrame) -> DataFrame:
 def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                    defs: list[FeatureSpec] | None = None, layout: str = "wide",
                    encode: bool = False, top_n: int = 10, label: bool = True,
-                   categories: dict[str, list] | None = None) -> FeatureResult:
+                   categories: dict[str, list] | None = None, many_cutoffs: bool = False) -> FeatureResult:
     """One row per target person, a column per feature definition.
 
     ``cutoff``: a time literal for everyone, or a DataFrame with columns
     ``person_id``/``cutoff_time`` (per-person cutoffs; only those persons are
-    returned).  ``layout``: ``wide`` pivots conditional features into columns,
-    ``map`` keeps them in one ``map<concept, struct>`` column per table,
-    ``long`` returns them in ``result.long[table]``.
+    returned).  With ``many_cutoffs`` a person may have several: the matrix has a row for each, told
+    apart by ``cutoff_time``; without it a repeated person is an error.  ``layout``: ``wide`` pivots conditional features into columns,
+    ``map`` keeps them in one ``map<concept, struct>`` column per table (bounded by a person's codes),
+    ``sparse`` in one vector column per table with its index in ``result.dictionaries`` (numeric
+    statistics, any number of codes), ``long`` returns them in ``result.long[table]``.
     """
-    if layout not in ("wide", "map", "long"):
+    if layout not in ("wide", "map", "long", "sparse"):
         raise ValueError(layout)
     if defs is None:
         defs = plan_features(es, config, layout=layout)
@@ -336,10 +376,18 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
     if per_person:
         # one bounded count decides broadcast vs. salted join for every table
         small = cutoff_is_small(cutoff.select("person_id"))
+        cutoff = cutoff.select("person_id", F.col("cutoff_time").cast("timestamp_ntz").alias("cutoff_time"))
+        if many_cutoffs:
+            cutoff = cutoff.distinct()
+        elif not cutoff.groupBy("person_id").count().where("count > 1").isEmpty():
+            raise ValueError("a person has several cutoffs: pass many_cutoffs=True")
+    elif many_cutoffs:
+        raise ValueError("many_cutoffs takes a table of cutoffs")
+    extra = [CUTOFF_COL] if many_cutoffs else []
 
     # target rows, identity features and age
     target, tcut = attach_cutoff(es[config.target], cutoff, key, small=small, row_key=key)
-    tcols = [F.col(key)]
+    tcols = [F.col(key), *map(F.col, extra)]
     for d in defs:
         if d.table != config.target:
             continue
@@ -349,7 +397,13 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             tcols.append(age_years(d.column, tcut).alias(d.name))
     base = target.select(*tcols)
 
-    parts, defaults, longs = [], {}, {}
+    def finished(part: DataFrame, pk: str) -> DataFrame:
+        """A child's result under the matrix's keys."""
+        if per_person and not many_cutoffs:
+            part = part.drop(CUTOFF_COL)
+        return part.withColumnRenamed(pk, key) if pk != key else part
+
+    parts, defaults, longs, dictionaries = [], {}, {}, {}
     for table in dict.fromkeys(c.table for c in config.children):
         cdefs = [d for d in defs if d.table == table]
         if not cdefs:
@@ -362,10 +416,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
 
         two = [d for d in cdefs if d.where_column is None and d.primitive in TWO_PHASE]
         for d in two:
-            part = _distribution(rows, group, d, d.name)
-            if per_person:
-                part = part.drop(CUTOFF_COL)
-            parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
+            parts.append(finished(_distribution(rows, group, d, d.name), pk))
 
         plain = [d for d in cdefs if d.where_column is None and d.primitive not in TWO_PHASE]
         every = [d for d in cdefs if d.where_column is not None]
@@ -373,6 +424,15 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             if d.primitive not in TWO_PHASE and default_for(d.primitive) is not None:
                 defaults[d.name] = default_for(d.primitive)
 
+        if many_cutoffs and spec.time_index and not spec.secondary:
+            # one pass over the child: merged states instead of rows repeated for each cutoff
+            once = [d for d in plain if d.primitive in MERGEABLE]
+            if once:
+                parts.append(finished(asof_aggregates(
+                    es[table], cutoff, pk, spec.time_index, spec.key,
+                    [(d.primitive, d.column if d.primitive not in TABLE_LEVEL else None, d.name) for d in once], small), pk))
+                plain = [d for d in plain if d not in once]
+
         where_columns = list(dict.fromkeys(d.where_column for d in every))
         for wc in where_columns or [None]:
             cond = [d for d in every if d.where_column == wc]
@@ -382,9 +442,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                 # statistics (grouping sets), folded per person in one more step
                 part = _single_scan(rows, group, wc, plain, cond, spec, cut, layout,
                                     f"{table}__where_{wc}")
-                if per_person:
-                    part = part.drop(CUTOFF_COL)
-                parts.append(part.withColumnRenamed(pk, key) if pk != key else part)
+                parts.append(finished(part, pk))
                 plain = []
                 continue
 
@@ -392,9 +450,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             # two separate aggregations beat one over grouping-set-expanded rows
             if plain:
                 agg = rows.groupBy(*group).agg(*_agg_columns(plain, spec, cut))
-                if per_person:
-                    agg = agg.drop(CUTOFF_COL)
-                parts.append(agg.withColumnRenamed(pk, key) if pk != key else agg)
+                parts.append(finished(agg, pk))
                 plain = []
             if cond:
                 # one statistic per (primitive, column); codes become rows
@@ -409,23 +465,26 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                 for d in stat_defs.values():
                     if d.primitive in TWO_PHASE:
                         long = long.join(_distribution(coded, [*group, wc], d, d.name), [*group, wc], "left")
-                if per_person:
-                    long = long.drop(CUTOFF_COL)
-                if pk != key:
-                    long = long.withColumnRenamed(pk, key)
+                long = _masked(finished(long, pk), wc, cond)
                 if layout == "wide":
                     cells = [(d.where_value, src, out) for d in sorted(cond, key=lambda d: d.where_value)
                              for src, out in zip(_columns(d, _long_stat_name(d)), _columns(d, d.name))]
-                    wide = pivot_rows(long, [key], wc, cells)
-                    parts.append(wide.select(key, *[c for d in cond for c in _columns(d, d.name)]))
+                    wide = pivot_rows(long, [key, *extra], wc, cells)
+                    parts.append(wide.select(key, *extra, *[c for d in cond for c in _columns(d, d.name)]))
                 elif layout == "map":
-                    parts.append(long_to_map(long, [key], wc,
+                    parts.append(long_to_map(long, [key, *extra], wc,
                                              [c for n, d in stat_defs.items() for c in _columns(d, n)],
                                              map_col=f"{table}__where_{wc}"))
+                elif layout == "sparse":
+                    out = f"{table}__where_{wc}"
+                    stats = [c for n, d in stat_defs.items() for c in _columns(d, n)]
+                    long = _materialised(long)  # read by the dictionary and by the vectors
+                    dictionaries[out] = feature_dictionary(long, wc, stats)
+                    parts.append(to_sparse(long, [key, *extra], wc, stats, dictionaries[out], out))
                 else:
                     longs[table if len(where_columns) == 1 else f"{table}__where_{wc}"] = long
 
-    matrix = assemble(base, key, parts, defaults)
+    matrix = assemble(base, [key, *extra], parts, defaults)
     cats = {}
     if encode:
         enc = [d for d in defs if d.categorical and d.name in matrix.columns]
@@ -438,7 +497,10 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
         matrix, cats = one_hot(matrix, [d.name for d in enc], top_n=top_n, values=categories)
     if label and config.label_table and config.label_table in es:
         matrix = attach_label(matrix, es[config.label_table], key)
-    return FeatureResult(matrix, defs, longs, cats)
+    if many_cutoffs:
+        matrix = matrix.withColumnRenamed(CUTOFF_COL, "cutoff_time")
+        longs = {t: df.withColumnRenamed(CUTOFF_COL, "cutoff_time") for t, df in longs.items()}
+    return FeatureResult(matrix, defs, longs, dictionaries, cats)
 
 
 def gen_feature_matrix(es: EntitySet, cutoff, features_only: bool = False,
