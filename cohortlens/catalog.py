@@ -21,12 +21,15 @@ from .operators.grouping import entropy, n_most_common
 from .operators.joins import lookup_join
 from .operators.keys import duplicate_keys, generate_key, orphan_links, with_bucket
 from .operators.riskfilter import build_filter, filter_bits, probe_filter
+from .operators.sketches import daily_sketches, error_bound, estimates, merge_sketches
 from .operators.sparse import from_sparse
 from .plans.explorer import patient_info, patient_measurements, patient_timeline
 from .plans.features import ChildConfig, FeatureConfig, feature_matrix, plan_features
 from .session import scratch_path
+from .sources.bucketed import load_bucketed, save_bucketed
 from .sources.csv import read_csv_typed
-from .sources.entityset import load_parquet, save
+from .sources.encoders import fit_encoding, load_encoding, save_encoding
+from .sources.entityset import RECODED, load_csv, load_parquet, save
 from .sources.featuredefs import load_defs, save_defs, write_matrix
 
 DIGITS = 6
@@ -418,6 +421,114 @@ def q_parquet_round_trip(spark, sf_dir):
     return rounded(back["orders"].drop("partition"))
 
 
+def _write_csv(df: DataFrame, folder: str, table: str) -> None:
+    df.write.mode("append").option("header", "true").option("quote", '"').option("escape", '"').csv(f"{folder}/{table}.csv")
+
+
+def q_load_csv_set(spark, sf_dir):
+    """Persons, measurements and labels from CSV files of two column orders, with doubled quotes, NaN, codes
+    written as floats and a label column beyond the declared ones; one row per table and key."""
+    folder = _scratch(spark, "csv-set")
+    ev = SI.read(spark, sf_dir, "events")
+    odd = F.col("event_id") % 2 == 1
+    cells = {"measurement_id": F.col("event_id"), "person_id": F.col("user_id"), "measurement_datetime": F.col("ts").cast("string"),
+             "measurement_concept_id": F.when(odd, F.concat(SI.event_code().cast("string"), F.lit(".0"))).otherwise(SI.event_code().cast("string")),
+             "value_as_number": F.when(F.col("event_id") % 7 == 0, "NaN").otherwise(F.col("value").cast("string")),
+             "unit_source_value": F.concat(F.lit('per "'), "event_type", F.lit('", mg'))}
+    for names, part in ((list(cells), ~odd), (list(cells)[::-1], odd)):
+        _write_csv(ev.where(part).select(*[cells[n].alias(n) for n in names]), folder, "measurement")
+    _write_csv(SI.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("gender_concept_id"), F.col("c_custkey").alias("person_id"),
+                                                         F.col("c_mktsegment").alias("gender_source_value")), folder, "person")
+    _write_csv(SI.read(spark, sf_dir, "labels").select(F.col("quality").alias("status"), F.col("toxic").alias("site"), F.col("doc_id").alias("person_id")),
+               folder, "goldstandard")
+    es = load_csv(spark, folder, tables=("person", "measurement", "goldstandard"), block_bytes=40 * 1024 * 1024)
+    m = es["measurement"].select(F.lit("measurement").alias("tbl"), F.col("measurement_id").alias("id"), "person_id", F.col("measurement_concept_id").alias("code"),
+                                 F.col("value_as_number").alias("value"), F.col("unit_source_value").alias("text"), F.col("measurement_datetime").alias("at"))
+    p = es["person"].select(F.lit("person").alias("tbl"), F.col("person_id").alias("id"), "person_id", F.col("gender_concept_id").alias("code"),
+                            F.lit(None).cast("double").alias("value"), F.col("gender_source_value").alias("text"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    g = es["goldstandard"].select(F.lit("goldstandard").alias("tbl"), F.col("person_id").alias("id"), "person_id", F.col("status").alias("code"),
+                                  F.lit(None).cast("double").alias("value"), F.col("site").alias("text"), F.lit(None).cast("timestamp_ntz").alias("at"))
+    return rounded(m.unionByName(p).unionByName(g))
+
+
+def q_load_csv_narrow(spark, sf_dir):
+    """Observations by the narrow load: Yes, No and Never become numbers and the text goes."""
+    folder = _scratch(spark, "csv-narrow")
+    answer = (F.when(F.col("event_type") == "click", "Yes").when(F.col("event_type") == "error", "No")
+              .when(F.col("event_type") == "view", "Never").when(F.col("event_type") == "signup", "maybe"))
+    ev = SI.read(spark, sf_dir, "events").select(
+        F.col("ts").cast("string").alias("observation_datetime"), answer.alias("value_as_string"), F.col("user_id").alias("person_id"), F.col("value").alias("value_as_number"),
+        F.col("event_id").alias("observation_id"), SI.event_code().alias("observation_concept_id"), F.lit("x").alias("unit_source_value"))
+    _write_csv(ev, folder, "observation")
+    return rounded(load_csv(spark, folder, tables=("observation",), wide=False)["observation"].drop(RECODED))
+
+
+def q_parquet_set_round_trip(spark, sf_dir):
+    """Three tables saved by bucket and read back: a row per table and key, and whether its bucket is its person's."""
+    es = SI.customer_set(spark, sf_dir)
+    for name, key in (("customer", "c_custkey"), ("events", "user_id"), ("orders", "o_custkey")):
+        es = es.with_table(name, with_bucket(es[name], key, 8))
+    path = _scratch(spark, "bucketed-set")
+    save(es, path, partition_by="partition")
+    back = load_parquet(spark, path)
+
+    def rows(name, key, person, value, text):
+        ok = F.col("partition") == F.pmod(F.xxhash64(person), F.lit(8))
+        return back[name].select(F.lit(name).alias("tbl"), F.col(key).alias("id"), F.col(person).alias("person"), F.col(value).cast("double").alias("value"),
+                                 F.col(text).alias("text"), ok.alias("in_bucket"))
+
+    return rounded(rows("customer", "c_custkey", "c_custkey", "c_nationkey", "c_mktsegment").unionByName(
+        rows("events", "event_id", "user_id", "value", "event_type")).unionByName(rows("orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")))
+
+
+def q_bucket_check(spark, sf_dir):
+    """Buckets of three tables: rows, persons, how many persons have one bucket, and whether all tables agree on it."""
+    tables = (("customer", "c_custkey"), ("events", "user_id"), ("orders", "o_custkey"))
+    marked = [with_bucket(SI.read(spark, sf_dir, t).select(F.col(k).alias("person")), "person", 16).withColumn("tbl", F.lit(t)) for t, k in tables]
+    rows = marked[0].unionByName(marked[1]).unionByName(marked[2])
+    person = rows.groupBy("person", "tbl").agg(F.count(F.lit(1)).alias("n"), F.min("partition").alias("low"), F.max("partition").alias("high"))
+    across = person.groupBy("person").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.collect_list(F.struct("tbl", "n", "low", "high")).alias("t"))
+    each = across.select("first", "last", F.explode("t").alias("t")).select("first", "last", "t.*")
+    return each.groupBy("tbl").agg(
+        F.sum("n").cast("long").alias("n_rows"), F.count(F.lit(1)).alias("persons"), F.count_if(F.col("low") == F.col("high")).alias("one_bucket"),
+        F.count_if(F.col("first") == F.col("last")).alias("same_in_all"), F.bool_and((F.col("low") >= 0) & (F.col("high") < 16)).alias("in_range"))
+
+
+def q_bucketed_matrix(spark, sf_dir):
+    """The flagship matrix from a set stored by person bucket."""
+    path = _scratch(spark, "bucketed")
+    save_bucketed(SI.customer_set(spark, sf_dir), path, 16)
+    return rounded(feature_matrix(load_bucketed(spark, path), SI.FLAGSHIP_CONFIG, SI.EVENTS_CUTOFF).matrix)
+
+
+def q_one_hot_saved(spark, sf_dir):
+    """Categories and a range fitted on the customers, stored, and applied to a changed table; one row per customer and
+    indicator."""
+    c = SI.read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    path = _scratch(spark, "encoding")
+    save_encoding(spark, fit_encoding(c, ["c_mktsegment"], ["c_acctbal"], top_n=3), path)
+    changed = c.withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 == 0, "SHIPYARD").when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")))
+    enc = load_encoding(spark, path)
+    out = enc.apply(changed.withColumn("c_acctbal", F.col("c_acctbal") * 2))
+    names = [n for n in out.columns if n.startswith("c_mktsegment__is_")]
+    labels = [*enc.categories["c_mktsegment"], "(unknown)"]
+    cells = F.array(*[F.struct(F.lit(v).alias("category"), F.col(n).alias("hit")) for v, n in zip(labels, names, strict=True)])
+    return rounded(out.select("c_custkey", F.col("c_acctbal__scaled").alias("scaled"), F.explode(cells).alias("c")).select("c_custkey", "scaled", "c.*"))
+
+
+def q_x_num_unique_sketch(spark, sf_dir):
+    """Distinct codes of each user from merged daily sketches, against the exact count."""
+    ev = SI.read(spark, sf_dir, "events").select("user_id", "ts", "event_id", SI.event_code().alias("code"))
+    out = None
+    for column in ("code", "event_id"):
+        kept = daily_sketches(ev, "user_id", "ts", column)
+        found = estimates(merge_sketches(kept, "user_id")).join(ev.groupBy("user_id").agg(F.count_distinct(column).alias("exact")), "user_id")
+        close = F.abs(F.col("num_unique") - F.col("exact")) <= error_bound(F.col("exact"))
+        found = found.select(F.lit(column).alias("of"), "user_id", "exact", close.alias("within_bound"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def q_feature_defs_round_trip(spark, sf_dir):
     es = SI.customer_set(spark, sf_dir)
     defs = plan_features(es, SI.FLAGSHIP_CONFIG)
@@ -477,6 +588,13 @@ QUERIES = {
     "agg_where_distribution": q_agg_where_distribution,
     "contact_sessions": q_contact_sessions,
     "at_risk_probe": q_at_risk_probe,
+    "load_csv_set": q_load_csv_set,
+    "load_csv_narrow": q_load_csv_narrow,
+    "parquet_set_round_trip": q_parquet_set_round_trip,
+    "bucket_check": q_bucket_check,
+    "bucketed_matrix": q_bucketed_matrix,
+    "one_hot_saved": q_one_hot_saved,
+    "x_num_unique_sketch": q_x_num_unique_sketch,
     "x_extra": q_x_extra,
     "x_trend": q_x_trend,
     "x_boolean": q_x_boolean,

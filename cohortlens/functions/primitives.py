@@ -116,6 +116,11 @@ def num_unique(ctx):
     return F.count_distinct(_v(ctx))
 
 
+def num_unique_approx(ctx):
+    """Distinct values from a HyperLogLog sketch (see ``operators.sketches``): bounded buffers, no expansion of the rows."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(_v(ctx).cast("string"), F.lit(12)))
+
+
 def trend(ctx):
     """Slope of a least-squares line of value against time in days."""
     return F.regr_slope(_v(ctx), days_since_epoch(F.col(ctx.time)))
@@ -151,6 +156,7 @@ PRIMITIVES: dict[str, tuple[Callable[[PrimitiveContext], Column], bool, object]]
     "time_since_first": (time_since_first, False, None),
     "sum": (sum_, True, None),
     "num_unique": (num_unique, True, 0),
+    "num_unique_approx": (num_unique_approx, True, 0),
     "first": (first, True, None),
     "trend": (trend, True, None),
     "any": (any_, True, None),

@@ -12,6 +12,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -23,11 +26,19 @@ def duplicate_keys(df: DataFrame, key_cols: list[str], out: str = "n_rows") -> D
             .where(F.col(out) > 1))
 
 
+def split_duplicates(df: DataFrame, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key occurs once, rows whose key is repeated or null)."""
+    whole = reduce(and_, [F.col(c).isNotNull() for c in key_cols])
+    repeated = duplicate_keys(df.where(whole), key_cols).select(*key_cols)
+    once = df.where(whole).join(repeated, key_cols, "left_anti").select(*df.columns)
+    return once, df.where(whole).join(repeated, key_cols, "left_semi").select(*df.columns).unionByName(df.where(~whole))
+
+
 def orphan_links(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str,
                  out: str = "n_rows") -> DataFrame:
     """Child link values without a parent row (null links included)."""
     per_key = child.groupBy(child_key).agg(F.count(F.lit(1)).alias(out))
-    parents = parent.select(F.col(parent_key).alias("__pk")).distinct()
+    parents = parent.select(F.col(parent_key).alias("__pk"))
     return per_key.join(parents, F.col(child_key) == F.col("__pk"), "left_anti")
 
 

@@ -77,7 +77,10 @@ def visible_rows(df: DataFrame, time_index: str | None, cutoff: Column,
     if secondary:
         masked = {}
         for sec_col, cols in secondary.items():
-            known = F.col(sec_col) <= cutoff
+            if sec_col not in out.columns:
+                continue  # nothing says when: known with the row
+            # a row that never says when (no end yet) hides nothing
+            known = F.col(sec_col).isNull() | (F.col(sec_col) <= cutoff)
             for c in cols:
                 if c in df.columns:
                     masked[c] = F.when(known, F.col(c))

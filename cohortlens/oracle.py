@@ -519,6 +519,29 @@ def build() -> dict[str, str]:
     q["agg_where_distribution"] = distribution_sql()
     q["contact_sessions"] = contacts_sql()
     q["at_risk_probe"] = risk_sql()
+    q["load_csv_set"] = (
+        f"SELECT 'measurement' AS tbl, event_id AS id, user_id AS person_id, {EVENT_CODE} AS code, CASE WHEN event_id % 7 <> 0 THEN {r('value')} END AS value, "
+        "'per \"' || event_type || '\", mg' AS text, ts AS at FROM events UNION ALL SELECT 'person', c_custkey, c_custkey, c_nationkey, NULL, c_mktsegment, NULL FROM customer "
+        "UNION ALL SELECT 'goldstandard', doc_id, doc_id, quality, NULL, CAST(toxic AS VARCHAR), NULL FROM labels")
+    q["load_csv_narrow"] = (
+        f"SELECT event_id AS observation_id, user_id AS person_id, {EVENT_CODE} AS observation_concept_id, ts AS observation_datetime, "
+        "CASE event_type WHEN 'click' THEN 100.0 WHEN 'error' THEN 0.0 WHEN 'view' THEN 0.0 ELSE round(value, 6) END AS value_as_number FROM events")
+    q["parquet_set_round_trip"] = (
+        "SELECT 'customer' AS tbl, c_custkey AS id, c_custkey AS person, CAST(c_nationkey AS DOUBLE) AS value, c_mktsegment AS text, true AS in_bucket FROM customer "
+        f"UNION ALL SELECT 'events', event_id, user_id, {r('value')}, event_type, true FROM events "
+        f"UNION ALL SELECT 'orders', o_orderkey, o_custkey, {r('o_totalprice')}, o_orderpriority, true FROM orders")
+    q["bucket_check"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS tbl, count(*) AS n_rows, count(DISTINCT {k}) AS persons, count(DISTINCT {k}) AS one_bucket, count(DISTINCT {k}) AS same_in_all, "
+        f"true AS in_range FROM {t}" for t, k in (("customer", "c_custkey"), ("events", "user_id"), ("orders", "o_custkey")))
+    q["bucketed_matrix"] = q["feature_matrix"]
+    q["one_hot_saved"] = (
+        "WITH top AS (SELECT c_mktsegment AS category FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3), "
+        "g AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer), "
+        "c AS (SELECT c_custkey, c_acctbal * 2 AS bal, CASE WHEN c_custkey % 5 = 0 THEN 'SHIPYARD' WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS seg FROM customer) "
+        f"SELECT c_custkey, {r('(bal - lo) / nullif(hi - lo, 0)')} AS scaled, category, coalesce(seg = category, false) AS hit FROM c, g, top UNION ALL "
+        f"SELECT c_custkey, {r('(bal - lo) / nullif(hi - lo, 0)')}, '(unknown)', NOT coalesce(seg IN (SELECT category FROM top), false) FROM c, g")
+    q["x_num_unique_sketch"] = " UNION ALL ".join(
+        f"SELECT '{n}' AS of, user_id, count(DISTINCT {e}) AS exact, true AS within_bound FROM events GROUP BY user_id" for n, e in (("code", EVENT_CODE), ("event_id", "event_id")))
     q["x_trend"] = customer_query([child_sql(EVENTS, EVENTS_CUTOFF, ("trend",), ("value",))])
     q["x_boolean"] = boolean_sql()
     q["x_n_most_common"] = (

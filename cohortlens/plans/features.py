@@ -35,7 +35,7 @@ from ..session import scratch_path
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
-VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique", "n_most_common", "entropy"}
+VALUE_ANY_TYPE = {"last", "first", "mode", "num_unique", "num_unique_approx", "n_most_common", "entropy"}
 # Primitives over a value distribution: computed from groupBy(person, value)
 # counts, then one more groupBy(person) — not a single aggregate expression.
 TWO_PHASE = {"n_most_common", "entropy", "median", "mode"}

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import schemas as S
 from ..functions.scaling import recode_text
 from ..operators.clean import drop_all_null_columns
-from ..operators.keys import duplicate_keys, generate_key, orphan_links, with_bucket
-from .csv import read_csv_typed
+from ..operators.keys import duplicate_keys, generate_key, orphan_links, split_duplicates, with_bucket
+from .csv import csv_rejects, read_csv_typed
 
 SPECS_FILE = "_specs"
 META_SCHEMA = "id string, specs string, relationships string, schemas string"
@@ -105,7 +105,8 @@ def _finish(name: str, df: DataFrame, spec: S.TableSpec, wide: bool, drop_empty:
         spec = S.TableSpec(spec.name, cols + (S.Col(RECODED, S.NUMERIC),), spec.key,
                            spec.time_index, spec.secondary, spec.person_key, spec.generated_key)
     if drop_empty:
-        keep = tuple(c for c in (spec.key, spec.person_key, spec.time_index) if c)
+        # keys and all time columns stay: a delayed column's own time must not go while its values are there
+        keep = tuple(c for c in (spec.key, spec.person_key, spec.time_index, *spec.secondary) if c)
         df = drop_all_null_columns(df, keep=keep)
     if spec.generated_key and spec.key not in df.columns:
         order = [c for c in df.columns]
@@ -113,23 +114,47 @@ def _finish(name: str, df: DataFrame, spec: S.TableSpec, wide: bool, drop_empty:
     return df, spec
 
 
+def _checked_keys(df: DataFrame, name: str, key: str, quarantine: str | None) -> DataFrame:
+    once, repeated = split_duplicates(df, [key])
+    if quarantine is None:
+        first = repeated.select(key).head()
+        if first is not None:
+            raise ValueError(f"table {name!r}: key {key} = {first[0]} is repeated or null")
+        return df
+    repeated.write.parquet(f"{quarantine.rstrip('/')}/{name}/keys")
+    return once
+
+
 def load_csv(spark: SparkSession, input_dir: str, entityset_id: str = "covid",
              label: bool = True, wide: bool = True, drop_empty: bool = False,
              block_bytes: int | None = None, n_buckets: int | None = None,
-             dense_keys: bool = False, tables: tuple[str, ...] | None = None) -> EntitySet:
-    """Read ``<table>.csv`` files of the health table set.
+             dense_keys: bool = False, tables: tuple[str, ...] | None = None,
+             quoted_breaks: bool = False, quarantine: str | None = None,
+             repeated_keys: str = "keep") -> EntitySet:
+    """Read ``<table>.csv`` files (or folders of such files) of the health table set.
 
     ``wide`` keeps every known column (the explorer needs them); narrow keeps
-    the feature columns.  ``n_buckets`` adds a deterministic ``partition``
+    the feature columns.  The label table keeps all its columns.  With
+    ``quarantine`` (a new folder) rows with a cell that is no value of its column, or with too few
+    or too many cells, are written there, ``<table>/cells``, and left out of the table; without it such cells
+    are null.  ``repeated_keys``: ``keep`` them, ``raise`` an error, or write their rows to
+    ``<table>/keys`` of the quarantine and leave them out.  ``n_buckets`` adds a deterministic ``partition``
     column (hash of ``person_id``) to every table for partitioned saves.
     """
+    if repeated_keys not in ("keep", "raise", "quarantine") or (repeated_keys == "quarantine" and not quarantine):
+        raise ValueError(f"repeated_keys={repeated_keys!r} with quarantine={quarantine!r}")
     names = tables or tuple(n for n in S.TABLES if label or n != "goldstandard")
     out, specs = {}, {}
     for name in names:
         spec = S.TABLES[name]
         cols = [c for c in spec.column_names(wide) if not (spec.generated_key and c == spec.key)]
-        df = read_csv_typed(spark, f"{input_dir.rstrip('/')}/{name}.csv", spec.schema(wide),
-                            columns=cols, block_bytes=block_bytes)
+        file = f"{input_dir.rstrip('/')}/{name}.csv"
+        df = read_csv_typed(spark, file, spec.schema(wide), columns=cols, block_bytes=block_bytes, quoted_breaks=quoted_breaks,
+                            extra_columns=name == "goldstandard", drop_rejects=bool(quarantine))
+        if quarantine:
+            csv_rejects(spark, file, spec.schema(wide), cols, quoted_breaks=quoted_breaks).write.parquet(f"{quarantine.rstrip('/')}/{name}/cells")
+        if spec.key in df.columns and repeated_keys != "keep":
+            df = _checked_keys(df, name, spec.key, quarantine if repeated_keys == "quarantine" else None)
         df, spec = _finish(name, df, spec, wide, drop_empty, dense_keys)
         if n_buckets:
             df = with_bucket(df, spec.person_key if name != "person" and name != "goldstandard"

@@ -38,15 +38,17 @@ def _moments(spark: SparkSession, landing_dir: str, near: float, lateness: str,
         if files:
             reader = reader.option("maxFilesPerTrigger", str(files))
         rows = reader.parquet(landing_dir).where("person IS NOT NULL AND place IS NOT NULL AND time IS NOT NULL")
-        return rows.withColumn("cell", cell_of(micros(F.col("time")), int(near * 1_000_000)))
+        # the clock's time as an instant, whatever the session's time zone: watermarks need instants
+        rows = rows.withColumn("us", micros(F.col("time"))).withColumn("time", F.timestamp_micros("us"))
+        return rows.withColumn("cell", cell_of(F.col("us"), int(near * 1_000_000)))
 
     later = read().select(F.col("person").alias("q"), F.col("place").alias("at"), F.col("cell").alias("c"), F.col("time").alias("t")).withWatermark("t", lateness)
     earlier = read().select(F.col("person").alias("p"), "place", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"),
-                            F.col("time").alias("t0")).withWatermark("t0", lateness)
+                            F.col("us").alias("earlier"), F.col("time").alias("t0")).withWatermark("t0", lateness)
     met = later.join(earlier, (F.col("at") == F.col("place")) & (F.col("c") == F.col("cell")) & (F.col("p") != F.col("q")) & (F.col("t0") <= F.col("t"))
                      & (F.col("t") <= F.col("t0") + F.expr(f"INTERVAL {int(near)} SECONDS")))
     met = met.where((F.col("t0") < F.col("t")) | (F.col("p") < F.col("q")))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "t", micros(F.col("t0")).alias("earlier"))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "t", "earlier")
 
 
 def stream_contacts(spark: SparkSession, landing_dir: str, out_dir: str, near: float, gap: float, lateness: str,
@@ -57,7 +59,7 @@ def stream_contacts(spark: SparkSession, landing_dir: str, out_dir: str, near: f
         raise ValueError("the gap that ends a session must be longer than what counts as near")
     met = _moments(spark, landing_dir, near, lateness, files)
     window = F.session_window("t", f"{int(gap)} seconds")
-    found = met.groupBy("a", "b", window).agg(F.min("earlier").alias("first"), F.max(micros(F.col("t"))).alias("last"), F.count(F.lit(1)).alias("n"))
+    found = met.groupBy("a", "b", window).agg(F.min("earlier").alias("first"), F.max(F.unix_micros("t")).alias("last"), F.count(F.lit(1)).alias("n"))
     found = found.where(F.col("last") - F.col("first") > int(least * 1_000_000)).select("a", "b", *session_columns("first", "last", "n"))
     base = out_dir.rstrip("/")
     query = (found.writeStream.format("parquet").option("checkpointLocation", f"{base}/_state").outputMode("append")
