@@ -17,19 +17,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from . import textvec
 from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-CACHE_WORDS = 150_000  # of each of two generations
+CACHE_BYTES = 64 << 20  # of each of two generations
+ENTRY_BYTES = 200  # of a kept word beside its text and ids
+LONG_WORD = 100
 JOINED = 500  # words given to the tokenizer as one text
+_NO_GAP = np.ones(256, bool)
+_NO_GAP[[10, 32]] = False
+_MARK, _ALPHA = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[44, 46]] = True
+_ALPHA[65:91] = _ALPHA[97:123] = True
 
 
 class Words:
@@ -42,22 +49,15 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"}
-
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """(core, mark): one ``.`` or ``,`` after a letter is split off and pure ASCII lower-cased, as
-        the tokenizer itself does with either; other words stay whole."""
-        if len(word) > 1 and word[-1] in ".," and unicodedata.normalize("NFC", word[-2]).lower().isalpha():
-            word, mark = word[:-1], word[-1]
-        else:
-            mark = ""
-        return word.lower() if word.isascii() else word, mark
+        self.marks = np.zeros(128, "<u4")
+        for x in ".,":  # one id each
+            self.marks[ord(x)], = self.tokenizer.encode(x, add_special_tokens=False).ids
 
     def encoded(self, cores: list[str]) -> dict[str, bytes]:
         """Ids of each word.  Words of letters alone are one pre-token each, so many go in as one
@@ -78,25 +78,63 @@ class Words:
             out[x] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        found = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {"": b""}, self.cache
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words.  Words over ``LONG_WORD`` bytes (texts without spaces) are not kept."""
+        if self.held > CACHE_BYTES:
+            self.cache, self.older, self.held = {}, self.cache, 0
         cache, older = self.cache, self.older
-        missing = set().union(*found).difference(cache)
-        for x in missing.intersection(older) if older else ():
-            cache[x] = older[x]
-        missing = [x for x in missing if x not in older]
-        if missing:
-            parts = [self.parts(x) for x in missing]
-            cores = list({c for c, _ in parts}.difference(cache))
-            new = self.encoded(cores)
-            for x, (core, mark) in zip(missing, parts, strict=True):
-                ids = new[core] if core in new else cache[core]
-                cache[x] = ids + self.marks[mark] if mark else ids
-        get = cache.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        out = [cache.get(w) for w in words]
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            out[i] = older.get(words[i])
+            if out[i] is None:
+                new.append(i)
+        if new:
+            texts = [words[i].decode() for i in new]
+            ids = self.encoded(texts)
+            for i, x in zip(new, texts, strict=True):
+                out[i] = ids[x]
+        for i in missing:
+            w = words[i]
+            if len(w) <= LONG_WORD:
+                cache[w] = out[i]
+                self.held += len(w) + len(out[i]) + ENTRY_BYTES
+        return out
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, document offsets) of texts as UTF-8 bytes: each distinct word is looked up once, and
+        all ids are gathered at once.
+
+        One ``.`` or ``,`` after an ASCII letter is split off and a word of ASCII alone lower-cased, as
+        the tokenizer itself does with either; other words stay whole."""
+        start, size, doc = textvec.words(data, offs, _NO_GAP)
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
+        last = start + size - 1
+        marked = (size > 1) & _MARK[data[last]] & _ALPHA[data[np.maximum(last - 1, 0)]]
+        keep = _NO_GAP[data]
+        keep[last[marked]] = False
+        low, wide = textvec.lowered(data), np.concatenate([np.zeros(1, np.int64), np.cumsum(data > 127)])
+        odd = wide[start + size] > wide[start]
+        if odd.any():
+            step = np.zeros(len(data) + 1, np.int8)
+            step[start[odd]] += 1
+            step[(start + size)[odd]] -= 1
+            low = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, low)
+        ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(size - marked, dtype=np.int32)])
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(low[keep])]).dictionary_encode()
+        known = self.known(words.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(known), "<u4")
+        count = np.array([len(x) // 4 for x in known], np.int64)
+        first, code = np.cumsum(count) - count, words.indices.to_numpy()
+        n = count[code]
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + marked)])
+        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out = np.empty(total[-1], "<u4")
+        out[inner + np.repeat(total[:-1], n)] = flat[inner + np.repeat(first[code], n)]
+        out[total[1:][marked] - 1] = self.marks[data[last[marked]]]
+        return out, total[np.searchsorted(doc, np.arange(len(offs)))]
 
 
 @lru_cache(maxsize=2)
@@ -114,33 +152,25 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("star
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
-           block_chars: int = 2 << 20) -> DataFrame:
+           block_bytes: int = 4 << 20) -> DataFrame:
     """Full windows and the rest of each document.  Null text counts as empty: its only id is
     ``end_id``.  ``ids`` (binary) is null for full windows unless ``keep_ids``."""
-    end = np.array([end_id], "<u4").tobytes()
-
-    def blocks(texts):
-        lo = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= block_chars:
-                yield lo, i + 1
-                lo, size = i + 1, 0
-        if lo < len(texts):
-            yield lo, len(texts)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = words(path)
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
-            for lo, hi in blocks(texts):
-                out = []
-                for key, ids in zip(keys[lo:hi], tok.ids(texts[lo:hi]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            keys = batch.column("doc_id").to_pylist()
+            for lo, hi, data, offs in textvec.blocks(batch.column("text"), block_bytes):
+                plain, begin = tok.ids(data, offs)
+                sizes = np.diff(begin) + 1  # with the end id
+                begin = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+                ids = np.full(begin[-1], end_id, "<u4")
+                ids[np.arange(len(plain)) + np.repeat(np.arange(hi - lo), sizes - 1)] = plain
+                raw, out = memoryview(ids.view(np.uint8)), []
+                for key, b, n in zip(keys[lo:hi], begin.tolist(), sizes.tolist(), strict=False):
                     for s in range(0, n, window):
-                        part = ids[4 * s:4 * (s + window)]
-                        out.append((key, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids or len(part) < 4 * window else None))
+                        size = min(window, n - s)
+                        part = raw[4 * (b + s):4 * (b + s + size)]
+                        out.append((key, s, size, zlib.crc32(part), n, part.tobytes() if keep_ids or size < window else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.binary()], strict=True)],
                                                  names=PIECE.fieldNames())
 

@@ -85,9 +85,9 @@ def code_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return per_document((data & 0xC0) != 0x80, offs)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, document) of each word."""
-    inside = _IS_WORD[data]
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, document) of each word: of each run of bytes that ``is_word`` marks."""
+    inside = is_word[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
     before[offs] = False  # a document's first byte has no word before it
