@@ -8,8 +8,10 @@ Two sets link when 100 * both >= 75 * either.
    common last (a bounded list of the commonest; which are on it decides speed, not results), so these prefixes hold rare
    ones.  Tasks get the prefixes by shingle and return the distinct lists of nodes that share shingles, with how many.
    A node that shares too few for any link leaves all lists.
-2. Stars.  The smallest node of a list is its centre, and is checked against the list's others.
-3. Search.  Links found so far join nodes into components.  Lists of one centre make up its neighbourhood; any two
+2. Stars.  The smallest node of a list is its centre, and is checked against the list's others.  All shingles that
+   two sets share, but for those within both prefixes, lie behind one of the prefixes: a pair is read only if what it may share in
+   its prefixes and the longer of what lies behind reach the required overlap.
+3. Search.  A node stays in a neighbourhood only if a set of the sizes there could link to it by the same bound.  Links found so far join nodes into components.  Lists of one centre make up its neighbourhood; any two
    nodes of a list are in one.  A neighbourhood with several components is searched whole, in blocks of ``GROUP``
    nodes against ``GROUP``: nodes outside the commonest component are queries over the others.
 
@@ -60,6 +62,18 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + least_shared(n)
 
 
+def _rest(n: str, percent: int) -> str:
+    """SQL: shingles behind the prefix of a set of ``n``."""
+    return f"(({percent} * {n} + 99) div 100 - 1 - {n} div {SHARE})"
+
+
+def _short_of(n: str, m: str, percent: int) -> str:
+    """SQL: how many shingles linked sets of these sizes share within both prefixes, at least.
+
+    Of the two prefixes one ends first in the order; what is shared and not in both lies behind that one."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent} - greatest({_rest(n, percent)}, {_rest(m, percent)}))"
+
+
 def _sets(batch: pa.RecordBatch, column: str = "text"):
     """(first row, end row, hashes, document, sizes, nodes) by block; documents without
     words have size 0 and node 0."""
@@ -366,6 +380,17 @@ def neighbourhood_links(docs: DataFrame, members: DataFrame, percent: int = PERC
                                        F.col("side").cast("int").alias("side")), percent)
 
 
+def _reachable(members: DataFrame, percent: int) -> DataFrame:
+    """(unit, node) of the ``members`` (unit, node, n, w: what the node shares in all lists) that some set of the
+    unit's sizes could link to.  What is asked of a pair is least at the smallest or the largest partner."""
+    sizes = members.groupBy("unit").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    lo = F.greatest(F.expr(f"({percent} * n + 99) div 100"), F.col("least_n"))
+    hi = F.least(F.expr(f"100 * n div {percent}"), F.col("most_n"))
+    rows = members.join(sizes, "unit").withColumn("lo", lo).withColumn("hi", hi)
+    slack = 3  # of the rounded terms between the ends
+    return rows.where(f"w + {slack} >= least({_short_of('n', 'lo', percent)}, {_short_of('n', 'hi', percent)})").select("unit", "node")
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document.
 
@@ -388,12 +413,17 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = written(lists.join(enough, "node"), "lists-enough")
     first = lists.groupBy("list_id").agg(F.min(F.struct("node", "n")).alias("m"))
     stars = written(lists.join(first, "list_id").where(F.col("node") != F.col("m.node"))
-                    .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m")), "stars")
-    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    found = written(star_links(docs, stars.where(close).select("unit", "node"), percent), "links")
+                    .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m"), F.sum("shared").alias("s")), "stars")
+    # lists of a pair that have another centre hold both as others: at most what the two share in such lists
+    other = stars.groupBy("node").agg(F.sum("s").alias("u"))
+    near = stars.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).join(other, "node")
+    near = near.join(other.select(F.col("node").alias("unit"), F.col("u").alias("v")), "unit", "left")
+    near = near.where(f"s + least(u - s, coalesce(v, 0)) >= {_short_of('n', 'm', percent)}")
+    found = written(star_links(docs, near.select("unit", "node"), percent), "links")
     labels = components(found)
 
-    members = stars.select("unit", "node").unionByName(stars.select("unit", F.col("unit").alias("node")).distinct())
+    members = stars.select("unit", "node", "n").unionByName(stars.select("unit", F.col("unit").alias("node"), F.col("m").alias("n")).distinct())
+    members = _reachable(members.join(lists.groupBy("node").agg(F.sum("shared").alias("w")), "node"), percent)
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = written(neighbourhood_links(docs, members, percent), "links")
     if not more.isEmpty():
