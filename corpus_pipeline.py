@@ -30,13 +30,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: that with the smallest id.  Rows that
-    repeat an id are one document: the one with the longest, then greatest text stays.  Rows without an id
+    """One document of each near-duplicate component: that with the smallest id (of one id's texts the
+    longest).  A document is an id with a text: where an id is repeated with texts that don't link, each is judged
+    for itself; rows that repeat both are one document, and the one with the greatest other columns stays.  Rows without an id
     can't be named by a component; all of them stay."""
     docs = docs.select(*COLUMNS)
-    keep = jaccard_join.linked(docs).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
-    out = out.groupBy("doc_id").agg(F.max_by(F.struct(*COLUMNS), F.struct(F.length("text"), "text", "lang", "source", "n_chars")).alias("r")).select("r.*")
+    # a document's name in the join: a hash of id and text, so that a repeated id names several
+    name = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    found = jaccard_join.linked(docs.select(name.alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), F.col("component_id").alias("component")).distinct()
+    ids = docs.where("doc_id IS NOT NULL").select(name.alias("name"), "doc_id", F.length("text").alias("size")).distinct()
+    best = ids.join(found, "name").groupBy("component").agg(F.min(F.struct("doc_id", -F.col("size"), "name")).alias("m")).select("m.name")
+    out = docs.where("doc_id IS NOT NULL").withColumn("name", name).join(best, "name", "left_semi")
+    out = out.groupBy("name").agg(F.max(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r")).select("r.*")
     return out.unionByName(docs.where("doc_id IS NULL"))
 
 

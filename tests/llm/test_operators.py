@@ -494,7 +494,7 @@ def test_language_edge_rows(edge):
 # -- registration and pipeline -----------------------------------------------------------
 
 def test_one_query_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_stages_follow_their_rules(spark):
