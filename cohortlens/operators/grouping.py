@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 from .joins import fits_broadcast
 
 # A wide layout beyond this many pivot values is refused: use long or map.
@@ -168,8 +168,8 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
 
     1. range-partition and sort all (group, value) rows: a hot group spans
        several partitions;
-    2. number rows inside each partition; checkpoint (both uses below see the
-       same partitions, and a lost executor re-reads instead of re-sorting);
+    2. number rows inside each partition and write them as Parquet (both uses below see the
+       same positions, and a lost executor re-reads instead of re-sorting);
     3. per (partition, group) segment: first position and row count; a window
        over each group's segments (at most one per partition) gives running
        offsets and the group size;
@@ -177,15 +177,13 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
        an equi-join on (partition, position) fetches them (the picks are
        broadcast when a bounded count allows, else both sides are shuffled).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     vals = df.where(F.col(column).isNotNull()).select(*keys, column)
     by_range = (vals.repartitionByRange(n_partitions, *keys, column) if n_partitions
                 else vals.repartitionByRange(*keys, column))   # AQE sizes it
     ordered = by_range.sortWithinPartitions(*keys, column)
     pid = F.spark_partition_id()
     pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    rows = ordered.select(*keys, column, pid.alias("__pid"), pos.alias("__pos")).checkpoint(eager=True)
+    rows = written(ordered.select(*keys, column, pid.alias("__pid"), pos.alias("__pos")), "median-rows")
     seg = rows.groupBy("__pid", *keys).agg(F.min("__pos").alias("__start"),
                                           F.count(F.lit(1)).alias("__cnt"))
     by_group = Window.partitionBy(*keys)
@@ -197,7 +195,7 @@ def grouped_median(df: DataFrame, keys: list[str], column: str, out: str = "medi
                .select("__pid", (F.col("__start") + F.col("__m") - F.col("__off")).alias("__pos")))
     # at most two picks per group: written once, counted with a bound, and
     # broadcast when small, so the positioned rows are scanned, not shuffled
-    targets = targets.checkpoint(eager=True)
+    targets = written(targets, "median-picks")
     if fits_broadcast(targets):
         targets = F.broadcast(targets)
     picked = rows.join(targets, ["__pid", "__pos"], "inner")

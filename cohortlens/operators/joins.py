@@ -17,8 +17,13 @@ MAX_BROADCAST_ROWS = 1_500_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops counting beyond)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows: a distributed count, one number per task."""
+    return df.count() <= max_rows
+
+
+def has_known_size(df: DataFrame) -> bool:
+    """Whether the planner knows a size of ``df`` (files do say theirs, rows in memory don't)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 60
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -31,12 +36,14 @@ def lookup_join(df: DataFrame, dictionary: DataFrame, code_col: str,
     """Left join ``dictionary[name_col]`` onto ``df`` where ``code = dict_key``.
 
     Codes repeated in the dictionary multiply rows; a missing or null code
-    gives a null name.  ``small`` skips the size check when the caller knows.
+    gives a null name.  The planner broadcasts a dictionary whose files are under
+    ``spark.sql.autoBroadcastJoinThreshold``; only one without files is counted first.  ``small`` is for
+    callers that know more.
     """
     out_col = out_col or name_col
     d = dictionary.select(F.col(dict_key).alias("__code"), F.col(name_col).alias(out_col))
     if small is None:
-        small = fits_broadcast(d)
+        small = not has_known_size(d) and fits_broadcast(d)
     if small:
         d = F.broadcast(d)
     return df.join(d, F.col(code_col) == F.col("__code"), "left").drop("__code")

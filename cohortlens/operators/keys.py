@@ -17,7 +17,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 
 def duplicate_keys(df: DataFrame, key_cols: list[str], out: str = "n_rows") -> DataFrame:
@@ -66,17 +66,15 @@ def generate_key(df: DataFrame, key: str, order_cols: list[str] | None = None,
     1. range-partition and sort by the full order (range bounds are sampled
        over the whole key, so one person's rows can span partitions);
     2. each row gets (partition id, position in partition);
-    3. the positioned rows are checkpointed to the shared checkpoint folder —
+    3. the positioned rows are written as Parquet to the shared checkpoint folder —
        a lost executor then re-reads them instead of re-sorting, and both
-       uses below see the same partitions;
+       uses below see the same positions;
     4. per-partition counts (one row per partition) → running offsets,
        broadcast back (size bounded by the partition count).
     """
     if not dense:
         return df.withColumn(key, F.monotonically_increasing_id())
     order_cols = order_cols or list(df.columns)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     # no explicit count by default: AQE sizes the range exchange (initial
     # partition number, then coalescing of adjacent ranges — order is kept)
     by_range = (df.repartitionByRange(n_partitions, *order_cols) if n_partitions
@@ -86,7 +84,7 @@ def generate_key(df: DataFrame, key: str, order_cols: list[str] | None = None,
     positioned = ordered.select(
         "*", pid.alias("__pid"),
         (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("__pos"))
-    positioned = positioned.checkpoint(eager=True)
+    positioned = written(positioned, "positioned-rows")
     sizes = positioned.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition: a single-task window over a few thousand rows
     offsets = sizes.select(

@@ -2,8 +2,8 @@
 
 Each view works for one person (the equality filter is pushed to the Parquet
 scan) or for all persons (``person_id=None``; the person key is kept so the
-rows stay attributable).  Code names come from a left join to the code
-dictionary behind a size-checked broadcast; unknown codes read ``'NA'``.
+rows stay attributable).  The tables of a view are stacked first, then joined once to the code
+dictionary; unknown codes read ``'NA'``.  Building a view runs no job.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scaling import affine_with_overrides, minmax_scale, DISPLAY_OVERRIDE
 from ..operators.clean import fill_missing, union_by_name
-from ..operators.joins import attach_status, fits_broadcast, lookup_join
+from ..operators.joins import attach_status, lookup_join
 from ..sources.entityset import EntitySet
 
 
@@ -77,9 +77,12 @@ def patient_info(es: EntitySet, person_id=None, person: str = "person",
     return p.select(key, *columns)
 
 
-def _facet_rows(es: EntitySet, f: Facet, dictionary: DataFrame, person_id, small: bool,
-                time_range=None, start_col: str | None = None, end_col: str | None = None
-                ) -> DataFrame:
+CODE = "__concept"
+
+
+def _facet_rows(es: EntitySet, f: Facet, person_id, time_range=None, start_col: str | None = None,
+                end_col: str | None = None) -> DataFrame:
+    """A table's rows in the view's columns, with its code still to be looked up."""
     spec = es.spec(f.table)
     pk = spec.person_key
     df = _for_person(es[f.table], pk, person_id)
@@ -96,12 +99,8 @@ def _facet_rows(es: EntitySet, f: Facet, dictionary: DataFrame, person_id, small
             return F.col(name)
         return F.lit(None).cast(types.get(name, "string"))
 
-    df = lookup_join(df, dictionary, f.concept, small=small) if f.concept in df.columns else \
-        df.withColumn("concept_name", F.lit(None).cast("string"))
     cols = [F.col(pk).alias("person_id")]
     cols += [col(src).alias(out) for out, src in f.columns.items()]
-    if f.y_from_concept_name:
-        cols.append(F.col("concept_name").alias("Y"))
     if f.scale == "minmax":
         a = f.scale_args
         cols.append(minmax_scale(col(a["value"]), col(a["low"]), col(a["high"]))
@@ -111,14 +110,18 @@ def _facet_rows(es: EntitySet, f: Facet, dictionary: DataFrame, person_id, small
         cols.append(affine_with_overrides(col(a["value"]), col(a["text"]), a.get("center", 90.0),
                                           a.get("scale", 10.0),
                                           a.get("overrides", DISPLAY_OVERRIDE)).alias("value_percentile"))
-    cols += [F.col("concept_name"), F.lit(f.facet).alias("facet")]
+    cols += [(F.col(f.concept) if f.concept in df.columns else F.lit(None)).cast("long").alias(CODE), F.lit(f.facet).alias("facet")]
     return df.select(*cols)
 
 
 def _view(es, dictionary, facets, person_id, **kw) -> DataFrame:
-    small = fits_broadcast(dictionary.select("concept_id", "concept_name"))
-    frames = [_facet_rows(es, f, dictionary, person_id, small, **kw) for f in facets if f.table in es]
-    return fill_missing(union_by_name(frames), "concept_name", "NA")
+    shown = [f for f in facets if f.table in es]
+    rows = lookup_join(union_by_name([_facet_rows(es, f, person_id, **kw) for f in shown]), dictionary, CODE).drop(CODE)
+    named = [f.facet for f in shown if f.y_from_concept_name]
+    if named:
+        y = F.col("Y") if "Y" in rows.columns else F.lit(None).cast("string")
+        rows = rows.withColumn("Y", F.when(F.col("facet").isin(named), F.col("concept_name")).otherwise(y))
+    return fill_missing(rows, "concept_name", "NA")
 
 
 def patient_timeline(es: EntitySet, dictionary: DataFrame, person_id=None,

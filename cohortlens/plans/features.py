@@ -31,7 +31,7 @@ from ..operators.joins import assemble, attach_label
 from ..operators.sparse import feature_dictionary, to_sparse
 from ..operators.visibility import (CUTOFF_COL, attach_cutoff, cutoff_is_small, is_per_person,
                                    visible_rows)
-from ..session import scratch_path
+from ..session import written
 from ..sources.entityset import EntitySet, RECODED
 
 TABLE_LEVEL = {"count", "time_since_last", "time_since_first", "avg_time_between"}
@@ -341,14 +341,6 @@ def _single_scan(rows: DataFrame, group: list[str], wc: str, plain: list[Feature
     return pivot_rows(keyed, group, "__pv", cells)
 
 
-def _materialised(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back."""
-    import uuid
-    path = scratch_path(df.sparkSession, f"feature-matrix-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                    defs: list[FeatureSpec] | None = None, layout: str = "wide",
                    encode: bool = False, top_n: int = 10, label: bool = True,
@@ -478,7 +470,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
                 elif layout == "sparse":
                     out = f"{table}__where_{wc}"
                     stats = [c for n, d in stat_defs.items() for c in _columns(d, n)]
-                    long = _materialised(long)  # read by the dictionary and by the vectors
+                    long = written(long, "feature-rows")  # read by the dictionary and by the vectors
                     dictionaries[out] = feature_dictionary(long, wc, stats)
                     parts.append(to_sparse(long, [key, *extra], wc, stats, dictionaries[out], out))
                 else:
@@ -493,7 +485,7 @@ def feature_matrix(es: EntitySet, config: FeatureConfig, cutoff, *,
             # a category computed from a child (e.g. the last code) would re-run
             # that child's aggregation in every frequency job: write the matrix
             # once (shared folder, columnar) and read the frequencies from it
-            matrix = _materialised(matrix)
+            matrix = written(matrix, "feature-matrix")
         matrix, cats = one_hot(matrix, [d.name for d in enc], top_n=top_n, values=categories)
     if label and config.label_table and config.label_table in es:
         matrix = attach_label(matrix, es[config.label_table], key)

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..operators.keys import duplicate_keys, generate_key, orphan_links
-from ..session import scratch_path
 from ..sources.csv import convert
 from ..sources.entityset import _observation_recode
 
@@ -74,7 +73,8 @@ def stream_table(spark: SparkSession, name: str, landing_dir: str, out_dir: str,
             "batch_id long, table string, duplicate_keys long, orphan_links long")
          .write.mode("overwrite").parquet(f"{base}/_checks/{name}/batch={batch_id}"))
 
-    ckpt = checkpoint or scratch_path(spark, f"stream-{name}")
+    # beside the output: a restart in another session goes on where this one stopped
+    ckpt = checkpoint or f"{base}/_state/{name}"
     w = typed.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     q = w.start()
