@@ -1,17 +1,20 @@
 """Sharding by histogram sort: exact byte counts below probe keys, refined until the
 splitters meet a tolerance, then one exchange.
 
-Documents are ordered by (hash of the text, doc_id), so equal texts lie side by side.
+Documents are ordered by (hash of the text, doc_id, row number), so equal texts lie side by side.  They are
+written once with their row numbers: counts and exchange see the same rows.
 ``splitters`` looks for keys where the bytes below reach each target.  Each round is
 one Spark job: every task counts bytes and rows per interval between the probes of all
 open targets; the counts are summed by interval and the driver keeps, per target, the
 interval that holds it (probes in number bounded by ``shards * parts * fanout``).
 A target's splitter falls between two texts; only where a group of equal texts is so
-large that this misses the target by more than ``WHOLE`` does it fall inside the group, by doc_id.
+large that this misses the target by more than ``WHOLE`` does it fall inside the group, by doc_id, and inside
+rows that repeat both by row number.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +53,9 @@ def _spread(lo: int, hi: int, n: int) -> list[int]:
     return sorted({lo + -(-width * (i + 1) // n) for i in range(n)}) if width > 0 else []
 
 
-def _histogram(keys: DataFrame, probes: dict[int, tuple[int | None, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Per target: bytes and rows in the cells that its probes cut.  A target with a fixed
-    hash probes the ids of that text; cell i holds keys < probe i and >= probe i-1."""
+def _histogram(keys: DataFrame, probes: dict[int, tuple[tuple[int, ...] | None, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per target: bytes and rows in the cells that its probes cut.  A target with a fixed (hash,) probes
+    the ids of that text, one with a fixed (hash, id) its rows; cell i holds keys < probe i and >= probe i-1."""
     plain = {t: p for t, (h, p) in probes.items() if h is None}
     inner = {t: (h, p) for t, (h, p) in probes.items() if h is not None}
     edges = np.array(sorted({x for p in plain.values() for x in p}), np.int64)
@@ -61,7 +64,7 @@ def _histogram(keys: DataFrame, probes: dict[int, tuple[int | None, list[int]]])
         total = np.zeros((2, len(edges) + 1), np.int64)
         within = {t: np.zeros((2, len(p) + 1), np.int64) for t, (_, p) in inner.items()}
         for batch in batches:
-            h, key, size = (batch.column(c).to_numpy() for c in ("_h", "_id", "_size"))
+            h, key, row, size = (batch.column(c).to_numpy() for c in ("_h", "_id", "_row", "_size"))
             if len(edges):
                 cell = np.searchsorted(edges, h, side="right")
                 total[1] += np.bincount(cell, minlength=len(edges) + 1)
@@ -70,8 +73,10 @@ def _histogram(keys: DataFrame, probes: dict[int, tuple[int | None, list[int]]])
                 if len(first):
                     total[0][cell[order][first]] += np.add.reduceat(size[order], first)
             for t, (fixed, p) in inner.items():
-                at = h == fixed
-                cell = np.searchsorted(np.array(p, np.int64), key[at], side="right")
+                at = h == fixed[0]
+                if len(fixed) > 1:
+                    at &= key == fixed[1]
+                cell = np.searchsorted(np.array(p, np.int64), (row if len(fixed) > 1 else key)[at], side="right")
                 np.add.at(within[t][0], cell, size[at])
                 np.add.at(within[t][1], cell, 1)
         rows = [(0, -1, int(c), int(total[0, c]), int(total[1, c])) for c in np.flatnonzero(total[1])]
@@ -80,7 +85,7 @@ def _histogram(keys: DataFrame, probes: dict[int, tuple[int | None, list[int]]])
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (
                 pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["level", "target", "cell", "bytes", "rows"])
 
-    got = (keys.select("_h", "_id", "_size").mapInArrow(count, COUNTS)
+    got = (keys.select("_h", "_id", "_row", "_size").mapInArrow(count, COUNTS)
            .groupBy("level", "target", "cell").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect())
     total = np.zeros((2, len(edges) + 1), np.int64)
     out = {t: (np.zeros(len(p) + 1, np.int64), np.zeros(len(p) + 1, np.int64)) for t, (_, p) in inner.items()}
@@ -98,14 +103,15 @@ def _histogram(keys: DataFrame, probes: dict[int, tuple[int | None, list[int]]])
 
 
 def splitters(keys: DataFrame, shards: int = SHARDS, parts: int = 1, tolerance: float = TOLERANCE,
-              whole: float = WHOLE, fanout: int = FANOUT) -> list[tuple[tuple[int, int], int]]:
-    """For each of the ``shards * parts - 1`` targets in order: ((hash, id), rows below it).
-    A row belongs below a splitter if its (hash, id) is less."""
+              whole: float = WHOLE, fanout: int = FANOUT) -> list[tuple[tuple[int, int, int], int]]:
+    """For each of the ``shards * parts - 1`` targets in order: ((hash, id, row), rows below it).
+    A row belongs below a splitter if its (hash, id, row) is less."""
     n = shards * parts
-    total = keys.agg(F.sum("_size").alias("b")).first().b or 0
+    first = keys.agg(F.sum("_size").alias("b"), F.max("_row").alias("r")).first()
+    total, end_row = first.b or 0, (first.r or 0) + 1
     stop, keep = int(tolerance * total / shards), int(whole * total / shards)
     open_ = {t: {"lo": _MIN, "hi": _MAX, "h": None, "bytes": 0, "rows": 0, "lo_sums": (0, 0), "best": (total + 1, None, 0)} for t in range(1, n)}
-    done: dict[int, tuple[tuple[int, int], int]] = {}
+    done: dict[int, tuple[tuple[int, int, int], int]] = {}
     for _ in range(ROUNDS):
         if not open_ or not total:
             break
@@ -122,23 +128,23 @@ def splitters(keys: DataFrame, shards: int = SHARDS, parts: int = 1, tolerance:
             below, count = np.cumsum(size)[:-1] + add[0], np.cumsum(rows)[:-1] + add[1]
             for x, b, c in zip(p, below.tolist(), count.tolist(), strict=True):
                 if abs(b - goal) < s["best"][0]:
-                    s["best"] = (abs(b - goal), (x, _MIN) if h is None else (h, x), c)
+                    s["best"] = (abs(b - goal), ((h or ()) + (x, _MIN, _MIN))[:3], c)
             over = int(np.searchsorted(below, goal, side="right"))  # the first probe with more below it
             lo = p[over - 1] if over else s["lo"]
             hi = p[over] if over < len(p) else s["hi"]
             lo_sums = (int(below[over - 1]), int(count[over - 1])) if over else s["lo_sums"]
             inner = t % parts != 0  # a range within a shard: balance is for the tasks' sake
             fine = s["best"][0] <= (stop * 8 // parts if inner else stop)
-            if fine or (hi - lo <= 1 and (h is not None or s["best"][0] <= keep)):
+            if fine or (hi - lo <= 1 and (h is not None and len(h) > 1 or s["best"][0] <= keep)):
                 done[t] = (s["best"][1], s["best"][2])
                 del open_[t]
-            elif hi - lo <= 1:  # one text holds the target: cut it by id
-                s.update(h=lo, lo=_MIN, hi=_MAX, bytes=lo_sums[0], rows=lo_sums[1], lo_sums=lo_sums)
+            elif hi - lo <= 1:  # one text holds the target: cut it by id; one id of it: by row
+                s.update(h=(h or ()) + (lo,), lo=_MIN if h is None else -1, hi=_MAX if h is None else end_row, bytes=lo_sums[0], rows=lo_sums[1], lo_sums=lo_sums)
             else:
                 s.update(lo=lo, hi=hi, lo_sums=lo_sums)
     for t, s in open_.items():
-        done[t] = (s["best"][1] or (_MIN, _MIN), s["best"][2])
-    out, last = [], ((_MIN, _MIN), 0)
+        done[t] = (s["best"][1] or (_MIN, _MIN, _MIN), s["best"][2])
+    out, last = [], ((_MIN, _MIN, _MIN), 0)
     for t in range(1, n):
         last = max(last, done.get(t, last))  # splitters never go back
         out.append(last)
@@ -151,28 +157,28 @@ def sharded(docs: DataFrame, shards: int = SHARDS, parts: int | None = None, tol
 
     ``parts`` cuts each shard further into the ranges that tasks sort; by default as many as
     the session's shuffle partitions give.  Null text has size 1; null ids come first; rows that agree in
-    text and id are interchangeable and share a range.  An empty table stays empty.
+    text and id are cut by their number, so any number of them is spread.  An empty table stays empty.
     Raises if a result column is there already."""
     spark = docs.sparkSession
     if taken := sorted(set(docs.columns) & {"shard", "slot", "_h", "_id", "_size", "_part", "_row"}):
         raise ValueError(f"columns are there already: {taken}")
     if parts is None:
         parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    keys = written(keyed(docs.select("doc_id", "text")).select("_h", "_id", "_size"), "shard-keys")
-    cuts = splitters(keys, shards, parts, tolerance)
+    rows = written(keyed(docs).withColumn("_row", F.monotonically_increasing_id()), "shard-rows")
+    cuts = splitters(rows, shards, parts, tolerance)
     cut_h = np.array([c[0][0] for c in cuts], np.int64)
-    cut_id = np.array([c[0][1] for c in cuts], np.int64)
+    cut_key = [c[0][1:] for c in cuts]
     below = [0, *(c[1] for c in cuts)]
 
     @F.pandas_udf(T.IntegerType())
-    def part_of(h, key):
+    def part_of(h, key, row):
         import pandas as pd
 
-        h, key = h.to_numpy(np.int64), key.to_numpy(np.int64)
+        h, key, row = h.to_numpy(np.int64), key.to_numpy(np.int64), row.to_numpy(np.int64)
         lo, hi = np.searchsorted(cut_h, h, side="left"), np.searchsorted(cut_h, h, side="right")
         out = lo.copy()
-        for i in np.flatnonzero(hi > lo):  # a splitter with this very hash: compare ids
-            out[i] = lo[i] + np.searchsorted(cut_id[lo[i]:hi[i]], key[i], side="right")
+        for i in np.flatnonzero(hi > lo).tolist():  # a splitter with this very hash: compare ids and rows
+            out[i] = bisect_right(cut_key, (int(key[i]), int(row[i])), int(lo[i]), int(hi[i]))
         return pd.Series(out.astype(np.int32))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +204,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, parts: int | None = None, tol
 
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return (keyed(docs).withColumn("_part", part_of("_h", "_id")).drop("_size")
-            .repartition(shards * parts, "_part").sortWithinPartitions("_part", "_h", "_id")
-            .drop("_h", "_id").mapInArrow(number, schema))
+    return (rows.withColumn("_part", part_of("_h", "_id", "_row")).drop("_size")
+            .repartition(shards * parts, "_part").sortWithinPartitions("_part", "_h", "_id", "_row")
+            .drop("_h", "_id", "_row").mapInArrow(number, schema))
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -90,16 +90,20 @@ class Rollup:
 
         Of several rows of one document the one with the most tokens counts (then by characters, source, language and
         version), a deletion only if there is no other; deleting an unknown
-        document and revising one to the same counts change nothing; a null doc_id is a document like any other id."""
+        document and revising one to the same counts change nothing.  A row without an id is a document of its own: it
+        can be added, and as nothing names it never revised or deleted.  Such rows are summed, not listed."""
         if self._exists(f"{self.root}/commits/{batch_id}/_SUCCESS"):
             return False
+        unnamed = changes.where(F.col("doc_id").isNull() & ~F.coalesce("deleted", F.lit(False)))
+        unnamed = unnamed.groupBy("doc_id", *GROUP).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(c).alias(c) for c in MEASURES[1:]])
+        changes = changes.where("doc_id IS NOT NULL")
         first = Window.partitionBy("doc_id").orderBy(F.coalesce("deleted", F.lit(False)), F.desc("n_tokens"), F.desc("n_chars"), *GROUP)
         new = changes.withColumn("_n", F.row_number().over(first)).where("_n = 1")
         touched = new.select(F.col("doc_id").alias("_id"))
-        old = self.state().join(touched, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        old = self.state().join(touched, F.col("doc_id") == F.col("_id"), "left_semi")
         minus = old.select("doc_id", *GROUP, *[(-F.col(c)).alias(c) for c in MEASURES])
         plus = new.where(~F.coalesce("deleted", F.lit(False))).select("doc_id", *GROUP, F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_chars")
-        signed = (minus.unionByName(plus).groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES])
+        signed = (minus.unionByName(plus).unionByName(unnamed).groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES])
                   .where("n_docs <> 0 OR n_tokens <> 0 OR n_chars <> 0"))
         ledger = f"{self.root}/ledger/{batch_id}"
         signed.write.mode("overwrite").parquet(ledger)
@@ -113,7 +117,7 @@ class Rollup:
 def maintained(docs: DataFrame, first: tuple[str, str], second: tuple[str, str], pattern: str, root: str | None = None) -> DataFrame:
     """Totals after a history that the documents themselves give: all are loaded under the
     tokenizer ``first`` (version, path); those not in English are revised to ``second``; all but the smallest id of each
-    text are deleted; the deletion is committed once more, to no effect."""
+    text are deleted; the deletion is committed once more, to no effect.  Rows without an id are loaded and stay as they are."""
     import uuid
 
     spark = docs.sparkSession
@@ -121,7 +125,7 @@ def maintained(docs: DataFrame, first: tuple[str, str], second: tuple[str, str],
     store = Rollup(spark, root or scratch_path(spark, f"rollup-{uuid.uuid4().hex}"))
     live = F.lit(False).alias("deleted")
     store.commit("1-load", counted(docs, first[1], pattern, first[0]).select("*", live))
-    other = docs.where("NOT lang <=> 'en'")
+    other = docs.where("doc_id IS NOT NULL AND NOT lang <=> 'en'")
     store.commit("2-revise", counted(other, second[1], pattern, second[0]).select("*", live))
     # copies: equal texts by length and two 64-bit hashes
     keyed = written(docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.length("text").alias("c"),
