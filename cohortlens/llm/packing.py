@@ -28,7 +28,7 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-CACHE_BYTES = 64 << 20  # of each of two generations
+CACHE_BYTES = 48 << 20  # of each of two generations
 ENTRY_BYTES = 200  # of a kept word beside its text and ids
 LONG_WORD = 100
 JOINED = 500  # words given to the tokenizer as one text
@@ -115,7 +115,7 @@ class Words:
         marked = (size > 1) & _MARK[data[last]] & _ALPHA[data[np.maximum(last - 1, 0)]]
         keep = _NO_GAP[data]
         keep[last[marked]] = False
-        low, wide = textvec.lowered(data), np.concatenate([np.zeros(1, np.int64), np.cumsum(data > 127)])
+        low, wide = textvec.lowered(data), np.concatenate([np.zeros(1, np.int32), np.cumsum(data > 127, dtype=np.int32)])
         odd = wide[start + size] > wide[start]
         if odd.any():
             step = np.zeros(len(data) + 1, np.int8)
@@ -130,9 +130,9 @@ class Words:
         first, code = np.cumsum(count) - count, words.indices.to_numpy()
         n = count[code]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + marked)])
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        inner = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         out = np.empty(total[-1], "<u4")
-        out[inner + np.repeat(total[:-1], n)] = flat[inner + np.repeat(first[code], n)]
+        out[inner + np.repeat(total[:-1].astype(np.int32), n)] = flat[inner + np.repeat(first[code].astype(np.int32), n)]
         out[total[1:][marked] - 1] = self.marks[data[last[marked]]]
         return out, total[np.searchsorted(doc, np.arange(len(offs)))]
 
@@ -152,7 +152,7 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("star
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, keep_ids: bool = False,
-           block_bytes: int = 4 << 20) -> DataFrame:
+           block_bytes: int = 2 << 20) -> DataFrame:
     """Full windows and the rest of each document.  Null text counts as empty: its only id is
     ``end_id``.  ``ids`` (binary) is null for full windows unless ``keep_ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
