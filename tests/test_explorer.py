@@ -70,3 +70,15 @@ def test_filter_pushed_to_scan(spark, es_dict, tmp_path):
     plan = patient_measurements(es2, d, 1)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(person_id), EqualTo(person_id,1)]" in plan
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_a_view_runs_no_job_and_reads_a_stored_dictionary_once(spark, es_dict, tmp_path):
+    es, d = es_dict
+    d.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    tracker = spark.sparkContext.statusTracker()
+    jobs = len(tracker.getJobIdsForGroup(None))
+    view = patient_timeline(es, stored)
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert len(tracker.getJobIdsForGroup(None)) == jobs
+    assert plan.count("FileScan parquet [concept_id") == 1 and "BroadcastExchange" in plan

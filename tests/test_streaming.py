@@ -35,3 +35,17 @@ def test_stream_generated_keys_unique(spark, tmp_path):
     stream_table(spark, "visit_occurrence", str(landing), out, checkpoint=ck)
     keys = [r.visit_occurrence_id for r in read_streamed(spark, out, "visit_occurrence").collect()]
     assert len(keys) == 3 and len(set(keys)) == 3
+
+
+def test_restart_without_a_named_checkpoint_adds_nothing(spark, tmp_path):
+    """The state lies beside the output, so a new query on the same folders goes on where the last one stopped."""
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    header = "person_id,visit_concept_id,visit_start_datetime,visit_end_datetime,visit_source_concept_id\n"
+    (landing / "a.csv").write_text(header + "1,3000,2020-01-01,2020-01-02,\n2,3000,2020-01-03,2020-01-04,\n")
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        stream_table(spark, "visit_occurrence", str(landing), out)
+    (landing / "b.csv").write_text(header + "3,3000,2020-01-05,2020-01-06,\n")
+    stream_table(spark, "visit_occurrence", str(landing), out)
+    assert sorted(r.person_id for r in read_streamed(spark, out, "visit_occurrence").collect()) == [1, 2, 3]
