@@ -335,6 +335,15 @@ def read_archives(spark: SparkSession, path: str, keep: bool = True) -> DataFram
     return out.select(*columns, *(["payload"] if keep else []))
 
 
+def round_trip_sql() -> str:
+    """DuckDB SQL for the rows of ``round_trip`` over the table ``pages`` (without ``fault``, which is null)."""
+    return (
+        "WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages), "
+        f"f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= {REVISIT_BYTES} GROUP BY payload_digest) "
+        "SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.least < p.page_id THEN 'revisit' ELSE 'response' END AS record_type, "
+        "CASE WHEN f.least < p.page_id THEN f.least END AS refers_to FROM p LEFT JOIN f ON f.payload_digest = p.payload_digest")
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the pages as archives to the shared folder and read them back: one row per page."""
     spark = pages.sparkSession
