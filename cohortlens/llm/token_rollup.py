@@ -94,6 +94,8 @@ class Rollup:
         can be added, and as nothing names it never revised or deleted.  Such rows are summed, not listed."""
         if self._exists(f"{self.root}/commits/{batch_id}/_SUCCESS"):
             return False
+        # read more than once below: counted (tokenised) once, a few numbers a row
+        changes = written(changes.select("doc_id", *GROUP, "n_tokens", "n_chars", "deleted"), "rollup-changes")
         unnamed = changes.where(F.col("doc_id").isNull() & ~F.coalesce("deleted", F.lit(False)))
         unnamed = unnamed.groupBy("doc_id", *GROUP).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(c).alias(c) for c in MEASURES[1:]])
         changes = changes.where("doc_id IS NOT NULL")
