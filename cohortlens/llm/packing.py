@@ -28,7 +28,7 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-CACHE_BYTES = 48 << 20  # of each of two generations
+CACHE_BYTES = 24 << 20  # of each of two generations
 ENTRY_BYTES = 200  # of a kept word beside its text and ids
 LONG_WORD = 100
 JOINED = 500  # words given to the tokenizer as one text
