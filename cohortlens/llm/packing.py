@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textvec
@@ -28,10 +29,12 @@ from .shared import written
 
 WINDOW = 2048
 END_ID = 1
-CACHE_BYTES = 24 << 20  # of each of two generations
-ENTRY_BYTES = 200  # of a kept word beside its text and ids
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 60  # of a kept word beside its text and ids: offsets, and its place in a lookup's hash table
 LONG_WORD = 100
 JOINED = 500  # words given to the tokenizer as one text
+MOST_TAILS = 5000  # runs of marks after a word whose ids are kept
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe, which may begin a pre-token with letters
 _NO_GAP = np.ones(256, bool)
 _NO_GAP[[10, 32]] = False
 _MARK, _ALPHA = np.zeros(256, bool), np.zeros(256, bool)
@@ -49,9 +52,11 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
+        self.tails: dict[str, np.ndarray] = {}
+        self.words = pa.array([], pa.binary())
+        self.flat = np.zeros(0, "<u4")
+        self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)  # of each word's ids
+        self.again = np.zeros(0, bool)  # looked up since it came in or since the last cut
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -59,48 +64,78 @@ class Words:
         for x in ".,":  # one id each
             self.marks[ord(x)], = self.tokenizer.encode(x, add_special_tokens=False).ids
 
-    def encoded(self, cores: list[str]) -> dict[str, bytes]:
-        """Ids of each word.  Words of letters alone are one pre-token each, so many go in as one
-        text, and an id that ends a pre-token ends a word."""
-        plain = [x for x in cores if x.isalpha()]
-        rest = [x for x in cores if not x.isalpha()]
-        out = {}
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of each word.  Words of letters alone are one pre-token each, so many go in as one
+        text, and an id that ends a pre-token ends a word; marks after the last letter are a pre-token of their own."""
+        cores = [x.rstrip(MARKS) for x in texts]
+        plain = [i for i, x in enumerate(cores) if x.isalpha()]
+        single = [i for i, x in enumerate(cores) if not x.isalpha()]
         groups = [plain[i:i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        order, sizes, parts = [], [], []
+        joined = self.tokenizer.encode_batch_fast([" ".join([cores[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, joined, strict=True):
             ids = np.array(e.ids, "<u4")
             end = np.flatnonzero(self.ends[ids]) + 1
             if len(end) != len(group):  # a letter became a letter and a mark
-                rest += group
+                single += group
                 continue
-            raw, cut = ids.tobytes(), (4 * end).tolist()
-            out |= {x: raw[a:b] for x, a, b in zip(group, [0, *cut], cut, strict=False)}
-        for x, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[x] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def known(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each of some distinct words.  Words over ``LONG_WORD`` bytes (texts without spaces) are not kept."""
-        if self.held > CACHE_BYTES:
-            self.cache, self.older, self.held = {}, self.cache, 0
-        cache, older = self.cache, self.older
-        out = [cache.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        new = []
-        for i in missing:
-            out[i] = older.get(words[i])
-            if out[i] is None:
-                new.append(i)
-        if new:
-            texts = [words[i].decode() for i in new]
-            ids = self.encoded(texts)
-            for i, x in zip(new, texts, strict=True):
-                out[i] = ids[x]
-        for i in missing:
-            w = words[i]
-            if len(w) <= LONG_WORD:
-                cache[w] = out[i]
-                self.held += len(w) + len(out[i]) + ENTRY_BYTES
-        return out
+            tails = [(k, texts[i][len(cores[i]):]) for k, i in enumerate(group) if len(cores[i]) < len(texts[i])]
+            if tails:
+                for x in {x for _, x in tails} - self.tails.keys():
+                    self.tails[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4")
+                more = [self.tails[x] for _, x in tails]
+                at, n = end[[k for k, _ in tails]], [len(x) for x in more]
+                ids = np.insert(ids, np.repeat(at, n), np.concatenate(more))
+                step = np.zeros(len(end), np.int64)
+                step[[k for k, _ in tails]] = n
+                end += np.cumsum(step)
+            order += group
+            sizes.append(np.diff(end, prepend=0))
+            parts.append(ids)
+            if len(self.tails) > MOST_TAILS:
+                self.tails = {}
+        for e in self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False):
+            parts.append(np.array(e.ids, "<u4"))
+            sizes.append([len(parts[-1])])
+        first, count = np.zeros((2, len(texts)), np.int32)
+        if texts:
+            size = np.concatenate(sizes)
+            count[order + single], first[order + single] = size, np.cumsum(size) - size
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), first, count
+
+    def cut(self) -> None:
+        """Keep no word over ``LONG_WORD`` bytes (texts without spaces); above ``CACHE_BYTES``, at most half of that in words
+        that were looked up again."""
+        size = np.diff(np.frombuffer(self.words.buffers()[1], np.int32)[:len(self.words) + 1]) if len(self.words) else np.zeros(0, np.int32)
+        cost, keep = size + 4 * self.count + ENTRY_BYTES, size <= LONG_WORD
+        full = cost[keep].sum() > CACHE_BYTES
+        if full:
+            keep &= self.again
+            keep &= np.cumsum(np.where(keep, cost, 0)) <= CACHE_BYTES // 2
+        if keep.all():
+            return
+        count = self.count[keep]
+        at = np.cumsum(count, dtype=np.int32) - count
+        inner = np.arange(int(count.sum()), dtype=np.int32) - np.repeat(at, count)
+        self.flat = self.flat[inner + np.repeat(self.first[keep], count)]
+        self.words, self.first, self.count = self.words.filter(pa.array(keep)), at, count
+        self.again = np.zeros(len(at), bool) if full else self.again[keep]
+
+    def known(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count) of some distinct words: word i has the ``count[i]`` ids from ``first[i]``."""
+        self.cut()
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().copy()
+        self.again[at[~new]] = True
+        if new.any():
+            missing = words.filter(pa.array(new))
+            at[new] = np.arange(len(missing)) + len(self.words)
+            ids, first, count = self.encoded(missing.cast(pa.string()).to_pylist())
+            self.words = pa.concat_arrays([self.words, missing])
+            self.first, self.count = np.concatenate([self.first, first + np.int32(len(self.flat))]), np.concatenate([self.count, count])
+            self.flat, self.again = np.concatenate([self.flat, ids]), np.concatenate([self.again, np.zeros(len(missing), bool)])
+        return self.flat, self.first[at], self.count[at]
 
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, document offsets) of texts as UTF-8 bytes: each distinct word is looked up once, and
@@ -124,15 +159,13 @@ class Words:
             low = np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, data, low)
         ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(size - marked, dtype=np.int32)])
         words = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(low[keep])]).dictionary_encode()
-        known = self.known(words.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(known), "<u4")
-        count = np.array([len(x) // 4 for x in known], np.int64)
-        first, code = np.cumsum(count) - count, words.indices.to_numpy()
+        flat, first, count = self.known(words.dictionary)
+        code = words.indices.to_numpy()
         n = count[code]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(n + marked)])
         inner = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
         out = np.empty(total[-1], "<u4")
-        out[inner + np.repeat(total[:-1].astype(np.int32), n)] = flat[inner + np.repeat(first[code].astype(np.int32), n)]
+        out[inner + np.repeat(total[:-1].astype(np.int32), n)] = flat[inner + np.repeat(first[code], n)]
         out[total[1:][marked] - 1] = self.marks[data[last[marked]]]
         return out, total[np.searchsorted(doc, np.arange(len(offs)))]
 

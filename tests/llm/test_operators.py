@@ -228,6 +228,44 @@ def test_a_hot_length_is_cut_to_fill_the_windows(docs_of):
     assert sorted(map(str, plain)) == sorted(map(str, kept))
 
 
+def word_ids(tok, texts):
+    ids, begin = tok.ids(*textvec.utf8(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)]
+
+
+def test_words_with_marks_go_to_the_tokenizer_in_few_texts():
+    tok = packing.Words(P.path("word_bpe_49k.json"))
+    texts = [f"{a}{b}{c}é***" for a in "abcdefg" for b in "hijklmn" for c in "opqrst"]
+    sent, real = [], tok.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, batch, **more):
+            sent.extend(batch)
+            return real.encode_batch_fast(batch, **more)
+
+        def encode(self, text, **more):
+            sent.append(text)
+            return real.encode(text, **more)
+
+    tok.tokenizer = Counted()
+    assert word_ids(tok, texts) == [real.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(sent) < 10
+
+
+@pytest.mark.parametrize("cache", [0, 3000, 24 << 20])
+def test_cached_words_have_the_tokenizers_ids(monkeypatch, cache):
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache)
+    monkeypatch.setattr(packing, "JOINED", 3)
+    monkeypatch.setattr(packing, "MOST_TAILS", 2)
+    tok = packing.Words(P.path("word_bpe_49k.json"))
+    odd = ["don't", "don'", "it's,", "x'''", "İstanbul.", "É***", "é!!", "a≠", "ä≠.", "<|endoftext|>", "ab<|endoftext|>", "***", "'s",
+           "a1,", "1.", "ﬁn...", "日本語。,", "İ̇!", "a\x00b.", "ß&&", "…,", "“.", "Ω`", "ñ^", "x" * 300, "é" * 200 + "!"]
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(odd + [f"w{'abcdefgh'[k]}é!" for k in rng.integers(0, 8, 4)], rng.integers(0, 9))) for _ in range(30)] + ["", None]
+        assert word_ids(tok, texts) == [tok.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_best_fill_is_the_best_subset_sum():
     rng = np.random.default_rng(0)
     for _ in range(200):
