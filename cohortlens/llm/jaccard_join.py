@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textvec as V
 from .components import components
@@ -405,12 +405,11 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = np.argsort(common)
     lists = written(shared_lists(docs, common[order], top["times"].to_numpy(np.int64)[order], percent), "lists")
     size = info.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    lists = written(lists.groupBy("list_id", "node").agg(F.sum("shared").alias("shared")).join(size, "node"), "lists-sized")
-
-    # what a node shares with all others together must reach what a link to the smallest possible partner needs
-    enough = (lists.groupBy("node").agg(F.sum("shared").alias("w"), F.first("n").alias("n"))
-              .where(f"w >= 1 + (({percent} * n + 99) div 100) div {SHARE}").select("node"))
-    lists = written(lists.join(enough, "node"), "lists-enough")
+    # what a node shares with all others together must reach what a link to the smallest possible partner needs;
+    # its lists lie together for its size, and are summed up there
+    lists = (lists.groupBy("list_id", "node").agg(F.sum("shared").alias("shared")).join(size, "node")
+             .withColumn("w", F.sum("shared").over(Window.partitionBy("node"))))
+    lists = written(lists.where(f"w >= 1 + (({percent} * n + 99) div 100) div {SHARE}"), "lists-enough")
     first = lists.groupBy("list_id").agg(F.min(F.struct("node", "n")).alias("m"))
     stars = written(lists.join(first, "list_id").where(F.col("node") != F.col("m.node"))
                     .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m"), F.sum("shared").alias("s")), "stars")
@@ -423,7 +422,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(found)
 
     members = stars.select("unit", "node", "n").unionByName(stars.select("unit", F.col("unit").alias("node"), F.col("m").alias("n")).distinct())
-    members = _reachable(members.join(lists.groupBy("node").agg(F.sum("shared").alias("w")), "node"), percent)
+    members = _reachable(members.join(lists.groupBy("node").agg(F.first("w").alias("w")), "node"), percent)
     members = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = written(neighbourhood_links(docs, members, percent), "links")
     if not more.isEmpty():

@@ -7,10 +7,12 @@ shared folder and reads them again as the next one's input.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import jaccard_join, langid, packing, quality
+from cohortlens.llm import jaccard_join, langid, packing, quality, suffix_lm
 from cohortlens.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,20 +31,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.apply_policy(quality.ledger(docs.select(*COLUMNS)), quality.POLICY).where("kept").select(*COLUMNS)
 
 
+def _apart(docs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with ``name``) as rows whose name is surely not in ``marks``, and the others: those with
+    one of its names, and a few more."""
+    held = docs.sparkSession.sparkContext.broadcast(suffix_lm._filter(marks.select(F.col("name").alias("ctx")), marks.count()))
+
+    @F.pandas_udf("boolean")
+    def may(name: pd.Series) -> pd.Series:
+        return pd.Series(suffix_lm._passes(held.value, name.to_numpy(np.int64).view(np.uint64)))
+
+    return docs.where(~may("name")), docs.where(may("name"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that with the smallest id (of one id's texts the
     longest).  A document is an id with a text: where an id is repeated with texts that don't link, each is judged
     for itself; rows that repeat both are one document, and the one with the greatest other columns stays.  Rows without an id
-    can't be named by a component; all of them stay."""
+    can't be named by a component; all of them stay.
+
+    Only rows that may have to go or are repeated are dealt out by name; the others, most of the texts, stay where they are."""
     docs = docs.select(*COLUMNS)
     # a document's name in the join: a hash of id and text, so that a repeated id names several
     name = F.xxhash64("doc_id", F.col("text").isNull(), "text")
     found = jaccard_join.linked(docs.select(name.alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), F.col("component_id").alias("component")).distinct()
-    ids = docs.where("doc_id IS NOT NULL").select(name.alias("name"), "doc_id", F.length("text").alias("size")).distinct()
-    best = ids.join(found, "name").groupBy("component").agg(F.min(F.struct("doc_id", -F.col("size"), "name")).alias("m")).select("m.name")
-    out = docs.where("doc_id IS NOT NULL").withColumn("name", name).join(best, "name", "left_semi")
-    out = out.groupBy("name").agg(F.max(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r")).select("r.*")
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").withColumn("name", name)
+    ids = named.groupBy("name").agg(F.min(F.struct("doc_id", -F.length("text"), "name")).alias("m"), F.count("*").alias("times"))
+    ids = written(ids.join(found, "name"), "named")
+    best = ids.groupBy("component").agg(F.min("m").alias("best"))
+    marks = ids.join(best, "component").select("name", "times", (F.col("name") == F.col("best.name")).alias("stays"))
+    marks = written(marks.where("NOT stays OR times > 1").select("name", "stays"), "marks")
+    once, rest = _apart(named, marks)
+    rest = rest.groupBy("name").agg(F.max(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
+    rest = rest.join(marks, "name", "left").where("coalesce(stays, true)").select("r.*")
+    return once.select(*COLUMNS).unionByName(rest).unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
