@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textvec as V
 from .components import components
-from .shared import written
+from .shared import giving_back, written
 
 PERCENT = 75
 COMMON_SHINGLES = 200_000  # shingles put last in the order
@@ -125,7 +125,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if size:
             yield report(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PROFILE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), PROFILE)
 
 
 PART = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("hot", T.BooleanType()),
@@ -207,8 +207,8 @@ def shared_lists(docs: DataFrame, common: np.ndarray, times: np.ndarray, percent
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x[lo:lo + (1 << 14)], size)) if x is not None else pa.array(np.concatenate(rows))
                                                   for x in (of, None, times)], names=LIST.fieldNames())
 
-    return (docs.select("text").mapInArrow(emit, PART).repartition(parts, "part").select("hot", "codes", "nodes")
-            .mapInArrow(gather, LIST))
+    return (docs.select("text").mapInArrow(giving_back(emit), PART).repartition(parts, "part").select("hot", "codes", "nodes")
+            .mapInArrow(giving_back(gather), LIST))
 
 
 # -- T-occurrence search ------------------------------------------------------
@@ -324,7 +324,7 @@ def _set_rows(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(node[pick]), pa.array([code[a:a + n[i]].tobytes() for a, i in zip(cut[:-1], pick, strict=True)], pa.binary())], names=SET.fieldNames())
 
-    return docs.select("text").mapInArrow(run, SET)
+    return docs.select("text").mapInArrow(giving_back(run), SET)
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -333,7 +333,7 @@ LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within blocks.  ``members``: unit, i, j (a block's name), node, label, side."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = written(members.select("unit", "i", "j", "node", "label", "side"), "members")
+    members = written(members.select("unit", "i", "j", "node", "label", "side"), "members", few=True)
     rows = members.join(_set_rows(docs, members), "node")  # tasks may send a set twice: equal rows
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +358,7 @@ def _searched(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if out := finish():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=LINK.fieldNames())
 
-    return rows.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node").mapInArrow(search, LINK)
+    return rows.repartition(parts, "unit", "i", "j").sortWithinPartitions("unit", "i", "j", "node").mapInArrow(giving_back(search), LINK)
 
 
 def star_links(docs: DataFrame, stars: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -412,7 +412,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = written(lists.where(f"w >= 1 + (({percent} * n + 99) div 100) div {SHARE}"), "lists-enough")
     first = lists.groupBy("list_id").agg(F.min(F.struct("node", "n")).alias("m"))
     stars = written(lists.join(first, "list_id").where(F.col("node") != F.col("m.node"))
-                    .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m"), F.sum("shared").alias("s")), "stars")
+                    .groupBy(F.col("m.node").alias("unit"), "node").agg(F.first("n").alias("n"), F.first("m.n").alias("m"), F.sum("shared").alias("s")), "stars", few=True)
     # lists of a pair that have another centre hold both as others: at most what the two share in such lists
     other = stars.groupBy("node").agg(F.sum("s").alias("u"))
     near = stars.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).join(other, "node")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import textvec as V
+from .shared import giving_back
 
 HIDDEN = 8
 STEPS = 64
@@ -211,7 +212,7 @@ def predict(docs: DataFrame, langs: list[str], model: BiGRU | None, column: str
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(names, pa.string()), pa.array(score)],
                                                  names=[*keep, "lang_pred", "score"])
 
-    return docs.withColumn("_letter", letters).mapInArrow(run, T.StructType([*docs.schema.fields, *PRED]))
+    return docs.withColumn("_letter", letters).mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, *PRED]))
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join.linked(docs.select(name.alias("doc_id"), "text")).select(F.col("doc_id").alias("name"), F.col("component_id").alias("component")).distinct()
     named = docs.where("doc_id IS NOT NULL").withColumn("name", name)
     ids = named.groupBy("name").agg(F.min(F.struct("doc_id", -F.length("text"), "name")).alias("m"), F.count("*").alias("times"))
-    ids = written(ids.join(found, "name"), "named")
+    ids = written(ids.join(found, "name"), "named", few=True)
     best = ids.groupBy("component").agg(F.min("m").alias("best"))
     marks = ids.join(best, "component").select("name", "times", (F.col("name") == F.col("best.name")).alias("stays"))
-    marks = written(marks.where("NOT stays OR times > 1").select("name", "stays"), "marks")
+    marks = written(marks.where("NOT stays OR times > 1").select("name", "stays"), "marks", few=True)
     once, rest = _apart(named, marks)
     rest = rest.groupBy("name").agg(F.max(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("r"))
     rest = rest.join(marks, "name", "left").where("coalesce(stays, true)").select("r.*")
