@@ -13,6 +13,7 @@ Spark partitions the documents; each task keeps a bounded cache of encoded chunk
 from __future__ import annotations
 
 import base64
+from contextlib import suppress
 import hashlib
 from functools import lru_cache
 import re
@@ -22,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .shared import giving_back
+
 # White space as the vocabulary's split pattern means it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
 #: Chunks never split a match of the pre-token pattern: a word with the one space
@@ -83,20 +86,36 @@ class RankQueue:
         return rank, held[0] if len(held) == 1 else np.concatenate(held)
 
 
-class Encoder:
-    """A rank file's vocabulary.  ``pattern`` splits text into pre-tokens."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    """The tokens of a rank file."""
+    ranks: dict[bytes, int] = {}
+    with open(path, "rb") as f:
+        for line in f:
+            if line.strip():
+                token, rank = line.split()
+                ranks[base64.b64decode(token)] = int(rank)
+    return ranks
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                if line.strip():
-                    token, rank = line.split()
-                    self.ranks[base64.b64decode(token)] = int(rank)
-        self.size = max(self.ranks.values()) + 1
+
+class Decoder:
+    """A rank file's tokens by rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * self.size
-        for token, rank in self.ranks.items():
+        for token, rank in ranks.items():
             self.tokens[rank] = token
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Encoder(Decoder):
+    """A rank file's vocabulary.  ``pattern`` splits text into pre-tokens."""
+
+    def __init__(self, path: str, pattern: str):
+        self.ranks = read_ranks(path)
+        super().__init__(self.ranks)
         self.byte_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs: dict[int, int] = {}
         #: Tokens that are part of a token of lower rank: merging one may open an earlier merge.
@@ -113,6 +132,11 @@ class Encoder:
         order = np.argsort(keys)
         self.pair_key = keys[order]
         self.pair_rank = np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        #: Ids of the tokens that are texts of their own.
+        self.whole: dict[str, bytes] = {}
+        for token, rank in self.ranks.items():
+            with suppress(UnicodeDecodeError):
+                self.whole[token.decode()] = rank.to_bytes(4, "little")
         self.pattern = regex.compile(pattern)
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -199,26 +223,26 @@ class Encoder:
 
     def encode_pieces(self, pieces: list[str]) -> None:
         """Fill the cache of pre-tokens: a whole token is taken as it is, the rest merged."""
-        raw = [x.encode() for x in pieces]
-        merge = []
-        for text, data in zip(pieces, raw, strict=True):
-            whole = self.ranks.get(data)
-            if whole is not None:
-                self.pieces[text] = whole.to_bytes(4, "little")
-            else:
-                merge.append((text, data))
+        whole = self.whole
+        self.pieces.update((x, whole[x]) for x in pieces if x in whole)
+        merge = [x for x in pieces if x not in whole]
         if merge:
-            for (text, _), ids in zip(merge, self.merge([d for _, d in merge]), strict=True):
-                self.pieces[text] = ids
+            self.pieces.update(zip(merge, self.merge([x.encode() for x in merge]), strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        found = [_CHUNK.findall(x) for x in texts]
+    def encode_all(self, texts: list[str], chars: int = 2 << 20) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        What is new in all texts is merged at once, as a step of ``merge`` costs much the same for few positions; the
+        texts are cut into chunks by groups of ``chars`` characters, twice if there are several, so that few chunks are held."""
+        groups = list(_groups(texts, chars))
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks, self.older = {}, self.chunks
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
-        missing = set().union(*found).difference(self.chunks)
+        missing: set[str] = set()
+        for group in groups:
+            found = [_CHUNK.findall(x) for x in group]
+            missing |= set().union(*found).difference(self.chunks)
         if known := missing.intersection(self.older):
             self.chunks.update((x, self.older[x]) for x in known)
             missing -= known
@@ -229,11 +253,9 @@ class Encoder:
             for x, parts in split.items():
                 self.chunks[x] = pieces[parts[0]] if len(parts) == 1 else b"".join([pieces[p] for p in parts])
         get = self.chunks.__getitem__
-        return [b"".join(map(get, x)) for x in found]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
+        if len(groups) == 1:
+            return [b"".join(map(get, x)) for x in found]
+        return [b"".join(map(get, _CHUNK.findall(x))) for x in texts]
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -241,6 +263,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    """One decoder per Python worker; it has no pairs and no caches."""
+    return Decoder(read_ranks(path))
+
+
 def _groups(texts: list[str], chars: int):
     lo = size = 0
     for i, t in enumerate(texts):
@@ -252,7 +280,7 @@ def _groups(texts: list[str], chars: int):
         yield texts[lo:]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", block_chars: int = 3 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", block_chars: int = 8 << 20) -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (little-endian unsigned 32-bit integers as
     binary).  Null text counts as empty (no ids).  Repeated rows are encoded alike; an
     empty table stays empty.  Raises if ``docs`` already has a column ``ids``."""
@@ -266,7 +294,7 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", block
             out = [x for group in _groups(texts, block_chars) for x in enc.encode_all(group)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType())]))
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
@@ -277,12 +305,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the bytes decoded from them."""
 
     def run(batches):
-        enc = encoder(path, pattern)
+        dec = decoder(path)
         for batch in batches:
             ids = batch.column("ids").to_pylist()
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in ids])], names=DIGEST.fieldNames())
+                pa.array([hashlib.sha256(dec.decode(x)).hexdigest() for x in ids])], names=DIGEST.fieldNames())
 
-    return encode(docs.select(F.col("doc_id").cast("long"), "text"), path, pattern).select("doc_id", "ids").mapInArrow(run, DIGEST)
+    return encode(docs.select(F.col("doc_id").cast("long"), "text"), path, pattern).select("doc_id", "ids").mapInArrow(giving_back(run), DIGEST)
