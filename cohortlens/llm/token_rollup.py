@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..session import scratch_path
-from .byte_bpe import encoder
-from .shared import written
+from .byte_bpe import read_ranks
+from .shared import giving_back, in_few_files, written
 
 GROUP = ["source", "lang", "version"]
 MEASURES = ["n_docs", "n_tokens", "n_chars"]
 STATE = "doc_id long, source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
+SLICE_ROWS = 1_000  # whose texts are Python strings at a time
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 
 
@@ -33,21 +34,22 @@ def counted(docs: DataFrame, path: str, pattern: str, version: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tiktoken(path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(texts), pa.string()),
-                 pa.array([len(tok.encode_ordinary(x)) for x in texts], pa.int64()), pa.array(list(map(len, texts)), pa.int64())],
-                names=["doc_id", *GROUP, "n_tokens", "n_chars"])
+            for part in (batch.slice(lo, SLICE_ROWS) for lo in range(0, batch.num_rows, SLICE_ROWS)):
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(texts), pa.string()),
+                     pa.array([len(tok.encode_ordinary(x)) for x in texts], pa.int64()), pa.array(list(map(len, texts)), pa.int64())],
+                    names=["doc_id", *GROUP, "n_tokens", "n_chars"])
 
     return docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").mapInArrow(
-        run, "doc_id long, source string, lang string, version string, n_tokens long, n_chars long")
+        giving_back(run), "doc_id long, source string, lang string, version string, n_tokens long, n_chars long")
 
 
 @lru_cache(maxsize=4)
 def _tiktoken(path: str, pattern: str):
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=encoder(path, pattern).ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
 class Rollup:
@@ -108,9 +110,9 @@ class Rollup:
         signed = (minus.unionByName(plus).unionByName(unnamed).groupBy("doc_id", *GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES])
                   .where("n_docs <> 0 OR n_tokens <> 0 OR n_chars <> 0"))
         ledger = f"{self.root}/ledger/{batch_id}"
-        signed.write.mode("overwrite").parquet(ledger)
+        in_few_files(signed).write.mode("overwrite").parquet(ledger)
         rows = self.spark.read.schema(STATE).parquet(ledger)
-        (rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES])
+        (in_few_files(rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in MEASURES]))
          .write.mode("overwrite").parquet(f"{self.root}/deltas/{batch_id}"))
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.root}/commits/{batch_id}")
         return True
