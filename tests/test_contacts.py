@@ -4,8 +4,10 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from cohortlens.operators import contacts
 from cohortlens.operators.contacts import contact_sessions, moments, sightings
 from cohortlens.streaming.contacts import SIGHTING, close_sightings, read_contacts, stream_contacts
 
@@ -87,6 +89,41 @@ def test_crowded_place_is_split(spark):
     assert sorted(met.collect()) == sorted(moments(seen, NEAR).collect())
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_moments_are_never_exchanged(spark, broadcast):
+    """Moments grow with the square of the sightings: with a broadcast or without, what finds them and their sessions is one stage."""
+    rows = random_rows(500, 6) + [("busy", "x1", DAY + dt.timedelta(minutes=4 * m)) for m in range(250)]  # a third of all
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = contact_sessions(spark.createDataFrame(rows, SIGHTING), "person", "place", "time", NEAR, GAP, cell_rows=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan and "Window" not in plan
+        assert ("CartesianProduct" in plan) == (broadcast == "-1")
+        assert result(got) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_sessions_over_slices_of_moments(spark, monkeypatch):
+    """A task that holds few moments at once finds the sessions that it finds with all of them."""
+    rows = random_rows(300, 8)
+    df = sightings(spark.createDataFrame(rows, SIGHTING), "person", "place", "time", NEAR)
+    batch = contacts.block_pairs(df, 1000).toArrow().combine_chunks().to_batches()[0]
+    x, y = contacts.Block.of(batch, "x", 0), contacts.Block.of(batch, "y", 0)
+    for most in (1, 7, 10**6):
+        monkeypatch.setattr(contacts._met, "__defaults__", (most,))
+        for wide in (False, True):  # by one sorted number, or by the pair where they would not fit it
+            if wide:
+                monkeypatch.setattr(contacts, "_by_pair", lambda pair, pairs: np.argsort(pair, kind="stable"))
+            parts = [*contacts._sessions(x, y, True, NEAR * 10**6, GAP * 10**6, 900 * 10**6)]
+            pair, first, last, n = (np.concatenate(c) for c in zip(*parts))
+            p, q = np.divmod(pair, len(y.persons))
+            at = np.datetime64(0, "us")
+            assert {(x.persons[int(i)].as_py(), y.persons[int(j)].as_py(), (at + f).item(), (at + t).item(), int(k)) for i, j, f, t, k in zip(p, q, first, last, n)} == brute(rows)
+        monkeypatch.undo()
+
+
 # -- stream -------------------------------------------------------------------
 
 def put(spark, rows, landing):
