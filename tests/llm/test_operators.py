@@ -377,6 +377,49 @@ def test_contexts_grow_until_the_divergence_test_ends_them(docs_of, monkeypatch)
     assert min(got.values()) > 30 * math.log10(1 / 2) - 10  # a bit for each word's first letter, next to nothing for its digit
 
 
+def test_a_level_checks_two_filters_however_long_its_contexts(monkeypatch):
+    """The contexts of any length are found from the bytes before, not by a walk through all shorter ones."""
+    texts = [b"the then there hen", b"", b"zz", "then thé there hen the then".encode()] * 2
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, length, doc = textvec.words(data, offs)
+    s = suffix_lm.stream(data, offs, start, length, doc)
+    line = s.data.tobytes()
+    calls = []
+    passes = suffix_lm._passes
+    monkeypatch.setattr(suffix_lm, "_passes", lambda *a: calls.append(1) or passes(*a))
+    filters = [np.full(1 << 7, 255, np.uint8)]  # lets all through
+    for d in range(suffix_lm.FIRST + 1, 15):
+        calls.clear()
+        which, context, gram, up = s.open_at(filters)
+        assert len(calls) <= 2
+        at, floor = s.at[which], s.floor[which]
+        assert len(which) == sum(b"\n" not in line[max(0, a - d + 1):a] for a in s.at)  # at most the first byte is the line feed before a text
+        for keys, back, behind in ((context, d, 0), (gram, d, 1), (up, d - 1, 1)):
+            seen = [line[a - back:a + behind] for a in at]
+            assert len(set(zip(seen, keys.tolist()))) == len(set(seen)) == len(set(keys.tolist()))
+        assert (at - d >= floor).all()
+        *_, (n, w, c, g) = s.longer(filters)
+        assert n == d and (w == which).all() and (c == context).all() and (g == gram).all()
+        filters.append(filters[0])
+    closed = [*filters[:-1], np.zeros(1 << 7, np.uint8)]
+    assert all(len(x) == 0 for x in s.open_at(closed))
+
+
+def test_partial_counts_are_of_equal_keys(monkeypatch):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 2**64, 50, dtype=np.uint64)[rng.integers(0, 50, 5000)]
+    for small in (False, True):
+        keys = keys % np.uint64(40) if small else keys
+        part = suffix_lm._Counts(1, ("ctx",))
+        assert [*part.add(keys, keys * np.uint64(3))] == [*part.add(keys[:0], keys[:0])] == []
+        batch, = part.flush()
+        got = sorted(zip(*(batch.column(c).to_numpy().astype(np.uint64).tolist() for c in ("key", "n", "ctx"))))
+        assert got == sorted((int(k), int(n), 3 * int(k) % 2**64) for k, n in zip(*np.unique(keys, return_counts=True)))
+        wanted = np.append(keys, keys[:1] + np.uint64(1))
+        known = np.unique(keys[::2])
+        assert (suffix_lm._find(known, known % np.uint64(7), wanted, 99) == np.where(np.isin(wanted, known), wanted % np.uint64(7), 99)).all()
+
+
 # -- 7 n-gram Jaccard join -------------------------------------------------------
 
 def brute_components(rows):
